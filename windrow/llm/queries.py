@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_path, table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .url_filter import judge
+from .warc import read_archives, write_archives
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +25,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_mix_sources)}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op9_url_filter)}
 
 ORACLE = {
     "op3_exact_dedup": """
