@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_path, table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .sentencepiece_bpe import tokenised
 from .url_filter import judge
 from .warc import read_archives, write_archives
 
 
+#: The tokenizer that op7 and the pipeline encode with.
+MODEL = "piece_bpe_32k.model"
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -25,11 +31,15 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op7_sentencepiece, op9_url_filter)}
 
 ORACLE = {
     "op3_exact_dedup": """
