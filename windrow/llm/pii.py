@@ -1,0 +1,368 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field for what they miss.
+
+The field's features are word shapes (of a word and its neighbours) and it is trained from the small labelled table
+below. Only words with a digit, an at sign or a spelled-out one may carry a label other than "outside"; a word that
+may not splits the chain exactly, so Viterbi runs over the stretches between such words, many of them at a time in
+numpy arrays. Stretches beyond LONGEST words are decoded in the same way, one after the other.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+KINDS = ("email", "ip", "card", "phone")
+
+# The patterns of the contract. Emails are found from their at sign and an address does not start
+# within a number, which gives the leftmost matches of the patterns in linear time.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+# The labelled table: [kind words], everything else is outside.
+LABELLED = """
+please call [phone 555-0142] today
+call me at [phone 555-7713] or later
+my number is [phone (030) 555-0199] in the office
+reach us under [phone (415) 555-2671] from nine to five
+tel. [phone 030 555 01 99] or by letter
+phone: [phone 020 7946 0018] for questions
+ring [phone 415-555-2671] and ask
+Telefon [phone (089) 555-4223] im Haus
+llame al [phone 555-4481] hoy
+appelez le [phone 01 42 68 53 00] demain
+mobile [phone +44 20 7946 0958] any time
+fax [phone +1 (415) 555-2671] is off
+| [phone 555-3756] |
+the [phone 555-5351] of
+and [phone 415.555.2671] again
+write to [email jane.doe(at)example.org] now
+mail [email info[at]example.com] for more
+contact [email sam_lee(at)mail.example.net] soon
+send it to [email ann.lee@example.com] please
+address [email kim.52@mail7.example.com] is new
+the [email support(at)example.de] desk
+the card [card 3782 822463 10005] was used
+pay with [card 4111.1111.1111.1111] only
+card no. [card 5500 0055 5555 5559] expired
+number [card 4012888888881881] is old
+amex [card 371449635398431] there
+server [ip 10.0.0.1:8080] is down
+from [ip 192.168.1.20/24] to all
+host [ip 203.0.113.9] said no
+between 1990 and 2024 there were 12 of them
+on 2024-01-05 at 12:30 we met
+chapter 3. and section 4.2 of 17
+version 3.0 or 2.0.1 of the license
+the year 1999 was 365 days long
+token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" of
+key 9233A8ECF7C5B09FE5949719B6B82BC439E9329B here
+it costs 1,299.00 or $15 each
+page 12 of 345 was lost
+room 4b and 7c on floor 2
+order 1234567 of 2023 came
+10 20 30 40 50 60 were drawn
+05.01.2024 was a friday
+call 911 or 112 now
+pages 100-200 and 12-14 of it
+3 x 4 = 12 and 7 + 8 = 15
+sections 1.2.3 and 4.5.6 below
+size 1024 x 768 px
+ISBN 978-3-16-148410-0 in print
+@home and @work are tags
+see (at) noon or [at] night
+score 3-2 or 21-19 at the end
+item 5550142 in row 7713
+the 1,000,000 and 2.500.000 rows
+A4 B52 C3PO R2D2 mp3
+50% of 100% is 0.5
+""".strip().split("\n")
+
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+OPEN = re.compile(r"[0-9@]|[(\[]at[)\]]")
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: Words of a stretch that are decoded at once; a longer one continues from where it was cut.
+LONGEST = 64
+#: Rounds and step of the training, strength of its penalty.
+EPOCHS, STEP, PENALTY = 60, 0.5, 1e-3
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > end and text[begin - 1] in LOCAL:
+            begin -= 1
+        if begin < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((begin, end := m.end()))
+            at = text.find("@", end)
+        else:
+            at = text.find("@", at + 1)
+    return out
+
+
+def digits_of(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def luhn(digits: str) -> bool:
+    total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(c), 10)) for c in digits[-2::-2])
+    return total % 10 == 0
+
+
+def small_part(part: str) -> bool:
+    return len(part := part.lstrip("0")) <= 3 and int(part or 0) <= 255
+
+
+def base_spans(text: str) -> list[list[tuple[int, int]]]:
+    """(start, end) in code points for each of KINDS."""
+    ips = [m.span() for m in IP.finditer(text) if all(map(small_part, m[0].split(".")))]
+    cards = [m.span() for m in CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
+    phones = [m.span() for m in PHONE.finditer(text) if 8 <= len(digits_of(m[0])) <= 15]
+    return [emails(text), ips, cards, phones]
+
+
+def shape(word: str) -> str:
+    """Letters as a or A and other characters as they are, runs shortened; digits as 9 with the length of the run."""
+    out = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0][0].isupper() else "a", word[:48])
+    out = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", out)
+    return out.strip(".,;:!?|\"'#$%&*")
+
+
+@lru_cache(maxsize=50_000)
+def features(word: str) -> tuple[str, ...]:
+    """What the field sees of one word."""
+    if not OPEN.search(word):
+        return (f"w={word.strip('.,:').lower()}", "plain") if len(word) < 10 else ("plain",)
+    core = shape(word)
+    n = len(digits_of(word[:48]))
+    kinds = "".join(sorted(set(re.sub(r"[0-9a-zA-Z]+", "", core))))
+    return (f"s={core}", f"n={min(n, 20)}", f"p={kinds}", f"n{min(n, 20)}p{kinds}", f"letters={bool(re.search('[aA]', core))}", "open")
+
+
+def labelled(lines=LABELLED) -> list[tuple[list[str], list[int]]]:
+    out = []
+    for line in lines:
+        words, labels = [], []
+        for piece in re.findall(r"\[(?:email|ip|card|phone) (?:[^\[\]]|\[at\])+\]|[^\x20]+", line):
+            if m := re.fullmatch(r"\[(email|ip|card|phone) (.+)\]", piece):
+                own = m[2].split(" ")
+                labels += [LABELS.index(f"{'I' if k else 'B'}-{m[1]}") for k in range(len(own))]
+                words += own
+            else:
+                words.append(piece)
+                labels.append(0)
+        out.append((words, labels))
+    return out
+
+
+class Field:
+    """Weights of the field: per feature of a word, of the word before and after, and per pair of labels."""
+
+    def __init__(self):
+        k = len(LABELS)
+        self.unary: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
+        self.move = np.zeros((k, k))
+        # A label inside a span only follows one of the same kind.
+        self.barred = np.array([[b[0] == "I" and a[1:] != b[1:] for b in LABELS] for a in LABELS])
+
+    def keys(self, words: list[str], at: int) -> list[str]:
+        before = features(words[at - 1]) if at else ("edge",)
+        after = features(words[at + 1]) if at + 1 < len(words) else ("edge",)
+        return [*features(words[at]), *(f"<{f}" for f in before), *(f">{f}" for f in after)]
+
+    def moves(self) -> np.ndarray:
+        return np.where(self.barred, -1e9, self.move)
+
+    def scores(self, keys: list[str]) -> np.ndarray:
+        out = np.zeros(len(LABELS))
+        for key in keys:
+            if key in self.unary:
+                out = out + self.unary[key]
+        return out
+
+    def train(self, table) -> Field:
+        """Maximise the conditional likelihood by gradient steps scaled as in AdaGrad."""
+        past: dict[str, np.ndarray] = defaultdict(lambda: np.full(len(LABELS), 1e-6))
+        past_move = np.full_like(self.move, 1e-6)
+        closed = np.array([0.0] + [-1e9] * (len(LABELS) - 1))
+        for _ in range(EPOCHS):
+            for words, truth in table:
+                keys = [self.keys(words, i) for i in range(len(words))]
+                unary = np.array([self.scores(k) + (0 if OPEN.search(w) else closed) for k, w in zip(keys, words)])
+                moves, n = self.moves(), len(words)
+                ahead, back = np.zeros_like(unary), np.zeros_like(unary)
+                ahead[0] = unary[0] + np.where(self.barred[0], -1e9, 0)
+                for i in range(1, n):
+                    ahead[i] = np.logaddexp.reduce(ahead[i - 1][:, None] + moves, axis=0) + unary[i]
+                for i in range(n - 2, -1, -1):
+                    back[i] = np.logaddexp.reduce(moves + (unary[i + 1] + back[i + 1])[None], axis=1)
+                whole = np.logaddexp.reduce(ahead[-1])
+                slope_move = -PENALTY * self.move
+                for i in range(n):
+                    slope = -np.exp(ahead[i] + back[i] - whole)
+                    slope[truth[i]] += 1
+                    for key in keys[i]:
+                        g = slope - PENALTY * self.unary[key]
+                        past[key] += g * g
+                        self.unary[key] += STEP * g / np.sqrt(past[key])
+                    if i:
+                        slope_move -= np.exp(ahead[i - 1][:, None] + moves + (unary[i] + back[i])[None] - whole)
+                        slope_move[truth[i - 1], truth[i]] += 1
+                past_move += slope_move**2
+                self.move += STEP * slope_move / np.sqrt(past_move)
+        self.unary = dict(self.unary)
+        return self
+
+    def decode(self, unary: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Best labels of many stretches at once. unary: stretch, place, label; first: scores of the label before."""
+        moves, (count, longest, k) = self.moves(), unary.shape
+        best = (first[:, :, None] + moves[None]).max(1) + unary[:, 0]
+        came = np.zeros((longest, count, k), np.int8)
+        tops = [best]
+        for t in range(1, longest):
+            through = best[:, :, None] + moves[None]
+            came[t] = through.argmax(1)
+            best = through.max(1) + unary[:, t]
+            tops.append(best)
+        out = np.zeros((count, longest), np.int8)
+        for t in range(longest - 1, -1, -1):
+            # The word after a stretch is outside, so its last label only pays the move there.
+            last = (tops[t] + moves[:, 0][None]).argmax(1)
+            follows = came[t + 1][np.arange(count), out[:, t + 1]] if t + 1 < longest else last
+            out[:, t] = np.where(lengths - 1 == t, last, np.where(lengths - 1 > t, follows, 0))
+        return out
+
+
+@lru_cache(maxsize=1)
+def trained() -> Field:
+    return Field().train(labelled())
+
+
+def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+    """Runs of words that may carry a label: their (start, end), and their texts with one word before and after."""
+    at = 0
+    while m := OPEN.search(text, at):
+        begin = m.start()
+        while begin > at and not (text[begin - 1] == " " or "\t" <= text[begin - 1] <= "\r"):
+            begin -= 1
+        spans: list[tuple[int, int]] = []
+        tokens = TOKEN.finditer(text, begin)
+        after = None
+        for token in tokens:
+            if not OPEN.search(text, *token.span()):
+                after = token
+                break
+            spans.append(token.span())
+        before = text[max(0, begin - 80) : begin].split()
+        yield spans, [before[-1] if before else "", *(text[a:b][:64] for a, b in spans), after[0][:64] if after else ""]
+        at = after.end() if after else len(text)
+
+
+def tidy(text: str, kind: str, begin: int, end: int) -> tuple[int, int] | None:
+    """A decoded span without the punctuation around it, if it can be of its kind."""
+    while begin < end and not (text[begin].isalnum() or text[begin] in "+("):
+        begin += 1
+    while begin < end and not text[end - 1].isalnum():
+        end -= 1
+    found = text[begin:end]
+    digits = digits_of(found)
+    if kind == "email":
+        good = bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]*[A-Za-z0-9]", found)) and "." in found
+    elif kind == "ip":
+        good = bool(m := re.match(r"([0-9]+(?:\.[0-9]+){3})(?![.0-9])", found)) and all(map(small_part, m[1].split(".")))
+    elif kind == "card":
+        good = 13 <= len(digits) <= 19 and luhn(digits)
+    else:
+        good = 7 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", found)
+    return (begin, end) if good else None
+
+
+def added_spans(texts: list[str], taken: list[list[list[tuple[int, int]]]], field: Field) -> list[list[list[tuple[int, int]]]]:
+    """What the field finds in each text beside the spans already taken."""
+    out: list[list[list[tuple[int, int]]]] = [[[] for _ in KINDS] for _ in texts]
+    jobs, rows = [], []
+    seen: dict[tuple[str, ...], np.ndarray] = {}
+    for t, text in enumerate(texts):
+        busy = sorted(s for spans in taken[t] for s in spans)
+        for spans, words in stretches(text):
+            if busy and all(any(a < e and s < b for s, e in busy) for a, b in spans):
+                continue
+            jobs.append((t, busy, spans))
+            unary = []
+            for i in range(1, len(words) - 1):
+                near = tuple(words[i - 1 : i + 2])
+                if near not in seen:
+                    edge = lambda mark, w: [f"{mark}{f}" for f in (features(w) if w else ("edge",))]
+                    seen[near] = field.scores([*features(near[1]), *edge("<", near[0]), *edge(">", near[2])])
+                    if len(seen) > 100_000:
+                        seen = {near: seen[near]}
+                unary.append(seen[near])
+            rows.append(unary)
+    outside = np.array([0.0] + [-1e9] * (len(LABELS) - 1))
+    order = sorted(range(len(jobs)), key=lambda j: len(rows[j]))
+    for at in range(0, len(order), 512):
+        block = order[at : at + 512]
+        longest = max(len(rows[j]) for j in block)
+        lengths = np.array([len(rows[j]) for j in block])
+        labels = np.zeros((len(block), longest), np.int8)
+        if longest <= LONGEST:
+            unary = np.zeros((len(block), longest, len(LABELS)))
+            for n, j in enumerate(block):
+                unary[n, : len(rows[j])] = rows[j]
+            labels = field.decode(unary, lengths, np.tile(outside, (len(block), 1)))
+        else:
+            for n, j in enumerate(block):
+                labels[n, : lengths[n]] = field.decode(np.array(rows[j])[None], lengths[n : n + 1], outside[None])[0]
+        for n, j in enumerate(block):
+            t, busy, spans = jobs[j]
+            i = 0
+            while i < lengths[n]:
+                if not (label := LABELS[labels[n, i]]).startswith("B"):
+                    i += 1
+                    continue
+                k = i + 1
+                while k < lengths[n] and LABELS[labels[n, k]] == f"I{label[1:]}":
+                    k += 1
+                if (found := tidy(texts[t], label[2:], spans[i][0], spans[k - 1][1])) and not any(found[0] < e and s < found[1] for s, e in busy):
+                    out[t][KINDS.index(label[2:])].append(found)
+                i = k
+    return out
+
+
+def spelled(spans: list[list[tuple[int, int]]]) -> str:
+    return ",".join(f"{kind}:{a}:{b}" for kind, own in zip(KINDS, spans, strict=True) for a, b in sorted(own))
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+
+    The counts and base_sha256 are of the patterns' spans, spans holds those and the field's. A null text is empty
+    and has none. A field's span that overlaps a pattern's is dropped. Texts are read whole; repeated rows give
+    repeated results; columns other than doc_id and text are not read.
+    """
+    field = trained()
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                texts = [t.as_py() or "" for t in some.column("text")]
+                base = [base_spans(t) for t in texts]
+                more = added_spans(texts, base, field)
+                counts = [pa.array([len(b[k]) for b in base], pa.int64()) for k in range(len(KINDS))]
+                digest = pa.array([hashlib.sha256(spelled(b).encode()).hexdigest() for b in base])
+                spans = pa.array([spelled([x + y for x, y in zip(b, m, strict=True)]) for b, m in zip(base, more, strict=True)])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *counts, digest, spans], names)
+
+    return docs.select("doc_id", "text").mapInArrow(part, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

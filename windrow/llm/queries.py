@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import shared_path, table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .pii import find_pii
 from .sentencepiece_bpe import tokenised
 from .url_filter import judge
 from .warc import read_archives, write_archives
@@ -31,6 +32,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
@@ -39,7 +44,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op7_sentencepiece, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op6_pii, op7_sentencepiece, op9_url_filter)}
 
 ORACLE = {
     "op3_exact_dedup": """
