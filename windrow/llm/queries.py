@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import shared_path, table
 from .exact_dedup import exact_groups
 from .mixing import mix
@@ -40,11 +41,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op6_pii, op7_sentencepiece, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op6_pii, op7_sentencepiece, op8_ann, op9_url_filter)}
 
 ORACLE = {
     "op3_exact_dedup": """
