@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import shared_path, table
 from .exact_dedup import exact_groups
+from .language_id import identify
 from .mixing import mix
 from .pii import find_pii
 from .sentencepiece_bpe import tokenised
+from .toxicity import score_toxicity
 from .url_filter import judge
 from .warc import read_archives, write_archives
 
@@ -29,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -49,7 +55,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mix_sources, op6_pii, op7_sentencepiece, op8_ann, op9_url_filter)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op4_language_id, op5_mix_sources, op6_pii, op7_sentencepiece, op8_ann, op9_url_filter, op10_toxicity)}
 
 ORACLE = {
     "op3_exact_dedup": """
