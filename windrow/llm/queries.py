@@ -10,6 +10,7 @@ from .common import shared_path, table
 from .exact_dedup import exact_groups
 from .language_id import identify
 from .mixing import mix
+from .near_dedup import near_groups
 from .pii import find_pii
 from .sentencepiece_bpe import tokenised
 from .toxicity import score_toxicity
@@ -27,6 +28,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_exact_dedup, op4_language_id, op5_mix_sources, op6_pii, op7_sentencepiece, op8_ann, op9_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_exact_dedup, op4_language_id, op5_mix_sources, op6_pii, op7_sentencepiece, op8_ann, op9_url_filter, op10_toxicity)}
 
 ORACLE = {
     "op3_exact_dedup": """
