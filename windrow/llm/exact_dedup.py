@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, normal_text
+from .common import bounded_broadcast, materialise, normal_text
 
 #: Share of all rows from which a digest counts as heavy. It bounds the broadcast table: 1 / SUPPORT rows.
 SUPPORT = 0.001
+#: Rows of (digest, keep_id) of ordinary groups that may be broadcast (40 bytes each); more of them join by shuffle.
+BROADCAST = 500_000
 
 
 def heavy_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -37,6 +39,10 @@ def heavy_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     return counted.join(F.broadcast(total)).filter(F.col("group_size") >= least).drop("n")
 
 
+def _digest():
+    return F.unhex(F.sha2(normal_text(), 256)).alias("digest")
+
+
 def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -45,9 +51,7 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     without any id has a null keep_id. Rows that repeat the kept doc_id with the same text are that same
     document and are all marked kept. Other columns of ``docs`` are not read; an empty table gives no rows.
     """
-    digests = materialise(
-        docs.select("doc_id", F.unhex(F.sha2(normal_text(), 256)).alias("digest")), "digests"
-    )
+    digests = materialise(docs.select("doc_id", _digest()), "digests")
     heavy = materialise(heavy_digests(digests, support), "heavy")
     group = Window.partitionBy("digest")
     common = digests.join(F.broadcast(heavy), "digest")
@@ -64,3 +68,26 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def keep_first_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """The rows of ``docs``, all columns, that exact_groups marks as kept.
+
+    Heavy groups are decided map-side. Of the others only groups of several rows matter: their table is broadcast
+    if it is small, and else meets the rows in a shuffle by digest.
+    """
+    digests = materialise(docs.select("doc_id", _digest()), "digests")
+    heavy = materialise(heavy_digests(digests, support).select("digest", "keep_id"), "heavy")
+    several = (
+        digests.join(F.broadcast(heavy), "digest", "left_anti")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select("digest", "keep_id")
+    )
+    several = materialise(several, "several")
+    kept = docs.select(F.struct("*").alias("row"), _digest())
+    for groups in (F.broadcast(heavy), bounded_broadcast(several, several.count(), BROADCAST)):
+        found = groups.withColumn("found", F.lit(True))
+        kept = kept.join(found, "digest", "left").filter(F.col("found").isNull() | F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).select("row", "digest")
+    return kept.select("row.*")

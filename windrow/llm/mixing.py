@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, bounded_broadcast, materialise
 
 #: Words in a block, words aimed at per shard, shards at most, and the seed of the order.
 BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = 32, 131_072, 8192, 20240101
 #: Weights of the sources in order, repeating; the share of all words that the mix takes; turns at most.
 WEIGHTS, SHARE, TURNS = (5, 2, 1), 1.5, 2
+#: Rows of (document, copies) that may be broadcast (about 40 bytes each); more of them join by shuffle.
+BROADCAST = 1_000_000
 
 
 def hash32(salt: str):
@@ -93,15 +95,19 @@ def apportion(parties: DataFrame, group: list[str], claim: str, seats: str, orde
     return bounded.join(won, keys, "left").withColumn(out, quota).drop("_n", "_sum", "_few", "_many", "_open", "_won")
 
 
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
 def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, and the source's key.
 
     size is the number of words (null text: 0); sources stand in code-point order, null last and a source like
     any other. A document is taken whole at most TURNS times. Rows that repeat a doc_id stay separate documents.
     Everything follows from the rows alone, so reruns agree. Other columns of ``docs`` are not read.
     """
     sized = materialise(
-        docs.select("doc_id", "source", source_key().alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select("doc_id", "source", source_key().alias("key"), _size()),
         "sizes",
     )
     words = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number
@@ -131,4 +137,19 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) ->
         + overlap(F.col("start"), last)
         + F.when(last > F.col("words"), overlap(F.lit(0), last - F.col("words"))).otherwise(0)
     )
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
+
+
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """The mix as rows of ``docs``, all columns: every document as often as the mix takes it, to the nearest whole number.
+
+    Rows that agree in doc_id, source and size share what the mix takes of them evenly.
+    """
+    of = ["doc_id", "key", "size"]
+    null_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")
+    taken = mix(docs).groupBy(*of).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    copies = F.round(F.col("taken") / (F.col("size") * F.col("rows"))).cast("int")
+    often = materialise(taken.filter("size > 0").select(null_id("doc_id"), "key", "size", copies.alias("copies")).filter("copies > 0"), "copies")
+    rows = docs.select(F.struct("*").alias("row"), null_id("doc_id"), source_key().alias("key"), _size())
+    found = rows.join(bounded_broadcast(often, often.count(), BROADCAST), ["id", "key", "size"])
+    return found.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

@@ -270,3 +270,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = classes.rows.select("doc_id", "n", "name")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, of which near_groups keeps the document: one of each component.
+
+    An id that several rows carry stays if near_groups keeps one of them.
+    """
+    key = lambda: F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key")
+    dropped = near_groups(docs).groupBy(key()).agg(F.max("kept").alias("kept")).filter("not kept").select("key")
+    dropped = materialise(dropped, "dropped")
+    rows = docs.select(F.struct("*").alias("row"), key())
+    return rows.join(bounded_broadcast(dropped, dropped.count(), BROADCAST), "key", "left_anti").select("row.*")
