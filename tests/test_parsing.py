@@ -1,0 +1,161 @@
+import datetime as dt
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from windrow.errors import ColumnDeclarationError, CompanionError, ParseIntervalError, ParseValueTypeError, PartitionColumnError, TimestampParseError
+from windrow.functions.interval import parse_interval, parse_lifetime
+from windrow.functions.timeparse import epoch_seconds, partition_column, partition_value, to_datetime, to_epoch, to_timestamp
+from windrow.functions.types import parse_type, type_name
+from windrow.plans.bounds import Bounds, Span, from_comparison
+from windrow.plans.predicates import field, glob_pattern
+from windrow.queries import _TEXTS
+from windrow.sources.spec import parse_companion, parse_spec, split_top
+
+
+def test_interval():
+    assert parse_interval("1 hour") == 3600
+    assert parse_interval("every 2 day") == 172800
+    for bad in ("hour", "1 hours", "1 Hour", "0 hour", "5 minute", ""):
+        with pytest.raises(ParseIntervalError):
+            parse_interval(bad)
+
+
+def test_lifetime():
+    assert parse_lifetime("lifetime 1 day") == 86400
+    assert parse_lifetime("LIFETIME 2 hour") == 7200
+    assert parse_lifetime("col1 text") is None
+    for bad in ("lifetime 1", "lifetime 1 day more", "lifetime x day"):
+        with pytest.raises(ParseIntervalError):
+            parse_lifetime(bad)
+
+
+def test_types():
+    assert parse_type("int") == T.LongType() and parse_type("Varchar") == T.StringType()
+    assert type_name(T.TimestampNTZType()) == "TIMESTAMP"
+    with pytest.raises(ParseValueTypeError):
+        parse_type("money")
+
+
+def test_spec():
+    spec = parse_spec("1 hour, lifetime 1 day, col1 timestamp partition_column, col2 text")
+    assert (spec.interval, spec.lifetime, spec.partition_column, len(spec.columns)) == (3600, 86400, "col1", 2)
+    assert spec.schema() == T.StructType([T.StructField("col1", T.TimestampNTZType()), T.StructField("col2", T.StringType())])
+    assert type(spec).from_json(spec.to_json()) == spec
+
+
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        ("1 hour, col1 text", PartitionColumnError),
+        ("col1 timestamp partition_column", ParseIntervalError),
+        ("1 hour, lifetime 1 day, lifetime 2 day, a timestamp partition_column", ParseIntervalError),
+        ("1 hour, a int partition_column", PartitionColumnError),
+        ("1 hour, a timestamp partition_column, b", ColumnDeclarationError),
+        ("1 hour, a timestamp partition_column, A text", ColumnDeclarationError),
+        ("1 hour, a timestamp partition_column, b text, companion x vec0(b)", CompanionError),
+        ("1 hour, a timestamp partition_column, b text, companion x USING vec0", CompanionError),
+        ("1 hour, a timestamp partition_column, b text, companion x USING (b)", CompanionError),
+    ],
+)
+def test_bad_specs(text, error):
+    with pytest.raises(error):
+        parse_spec(text)
+
+
+def test_companion_clause():
+    found = parse_companion("companion vec USING vec0(embedding float[384], x)")
+    assert (found.name, found.module, found.args) == ("vec", "vec0", ("embedding float[384]", "x"))
+    assert parse_companion("col1 text") is None
+    assert split_top("a(b,c), d[1,2], e") == ["a(b,c)", " d[1,2]", " e"]
+
+
+@pytest.mark.parametrize(("text", "epoch"), _TEXTS)
+def test_formats(text, epoch):
+    if epoch is None:
+        with pytest.raises(TimestampParseError):
+            to_epoch(text)
+    else:
+        assert to_epoch(text) == epoch
+
+
+def test_literals():
+    assert to_epoch(1704110400) == 1704110400
+    assert to_epoch(-1.5) == -1
+    assert to_epoch(dt.date(2024, 1, 1)) == 1704067200
+    assert to_epoch(dt.datetime(2024, 1, 1, 2, tzinfo=dt.timezone(dt.timedelta(hours=2)))) == 1704067200
+    assert to_datetime(" 2024-01-01 00:00:00.25 ").microsecond == 250000
+    for bad in (None, b"x", True):
+        with pytest.raises(TimestampParseError):
+            to_epoch(bad)
+
+
+def test_columns_agree_with_literals(spark):
+    texts = [t for t, _ in _TEXTS] + ["2024-01-01 00:00:00.25", "1969-12-31 23:59:59.5", " 2024-02-01 ", "", None, "2024-02-01T12:30:45.5-0330"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_timestamp(F.col("t"), T.StringType()).alias("ts"))
+    for row in df.select("t", "ts", partition_column(F.col("ts"), 3600).alias("p")).collect():
+        try:
+            want = to_datetime(row["t"])
+        except TimestampParseError:
+            want = None
+        assert row["ts"] == want, row["t"]
+        assert row["p"] == (None if want is None else partition_value(row["t"], 3600))
+
+
+def test_columns_of_numbers(spark):
+    df = spark.createDataFrame([(0, 0.0), (-1, -1.5), (1704110400, 1704110400.9), (32472183600, 2.0)], "a long, b double")
+    rows = df.select("a", "b", *(epoch_seconds(to_timestamp(F.col(c), df.schema[c].dataType)).alias(f"e{c}") for c in "ab")).collect()
+    for r in rows:
+        assert (r["ea"], r["eb"]) == (to_epoch(r["a"]), to_epoch(r["b"]))
+
+
+def test_columns_do_not_depend_on_the_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        row = spark.sql("select timestamp_ntz'2024-07-01 12:00:00' as t").select(epoch_seconds(F.col("t")).alias("e")).first()
+        assert row["e"] == 1719835200
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_bounds_of_comparisons():
+    assert from_comparison("=", "2024-01-01 12:15", 3600) == Bounds.of(Span(1704110400, 1704110400))
+    assert from_comparison(">", "2024-01-01 12:15", 3600) == Bounds.of(Span(1704110400, None))
+    assert from_comparison("<", "2024-01-01 12:00", 3600) == Bounds.of(Span(None, 1704106800))
+    assert from_comparison("<", "2024-01-01 12:15", 3600) == Bounds.of(Span(None, 1704110400))
+    assert from_comparison("<=", "2024-01-01 12:00", 3600) == Bounds.of(Span(None, 1704110400))
+    assert from_comparison("!=", "2024-01-01", 3600).everything
+    with pytest.raises(TimestampParseError):
+        from_comparison(">", "not-a-timestamp", 3600)
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.sampled_from(["=", "!=", ">", ">=", "<", "<="]), st.sampled_from(["=", ">", ">=", "<", "<="]), st.integers(-200_000, 200_000), st.integers(-200_000, 200_000),
+    st.lists(st.integers(-200_000, 200_000), max_size=20), st.sampled_from([3600, 86400]), st.booleans(),
+)
+def test_bounds_lose_no_row(op, op2, a, b, points, interval, both):
+    holds = {"=": int.__eq__, "!=": int.__ne__, ">": int.__gt__, ">=": int.__ge__, "<": int.__lt__, "<=": int.__le__}
+    left, right = from_comparison(op, a, interval), from_comparison(op2, b, interval)
+    bounds = left.meet(right) if both else left.join(right)
+    for x in [*points, a, b]:
+        wanted = holds[op](x, a) and holds[op2](x, b) if both else holds[op](x, a) or holds[op2](x, b)
+        assert not wanted or bounds.holds(x - x % interval)
+
+
+def test_bounds_shape():
+    assert (field("t").isin("2024-01-01", "2024-01-03")).bounds("t", 86400).shape() == (True, True, True)
+    assert (field("t") > "2024-01-01").bounds("t", 86400).shape() == (False, True, False)
+    assert ((field("t") > "2024-01-02") & (field("t") < "2024-01-01")).bounds("t", 86400).spans == ()
+
+
+def test_glob():
+    import re
+
+    for glob, yes, no in (("a*c", "abbc", "abcd"), ("a?c", "abc", "ac"), ("[a-c]x", "bx", "dx"), ("[^a]x", "bx", "ax"), ("a.c", "a.c", "abc")):
+        pattern = glob_pattern(glob).replace(r"\z", r"\Z")
+        assert re.match(pattern, yes) and not re.match(pattern, no)
