@@ -12,8 +12,8 @@ everything from there on is about classes, so thousands of copies cost as much a
 4. A class that has a longer list among its rarest values is crowded. A pair of a crowded and another class was found in
    the other's short lists; pairs of crowded classes are found from whole sets: a pair with similarity 0.75 shares one
    of the rarest seventh of the smaller set's shingles and the rarest quarter of the larger's. In a long list of those,
-   all members are checked against the list's most typical one, and only pairs that are still in different components
-   remain, which keeps the work of a group of near copies linear in its size.
+   all members are measured against its most typical one, which links most of a group of near copies in linear work;
+   what is measured also bounds the similarity of the other pairs, and few of those remain to be checked.
 5. Links are confirmed by the exact similarity of whole sets, and connected components follow from them.
 """
 
@@ -193,30 +193,108 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_part, "a long, b long"), "links")
 
 
-def _crowded_postings(texts: DataFrame) -> DataFrame:
-    """(v, c, n, f, short, typical): lists of the rarest quarter of each class's whole set."""
-    whole = materialise(texts.mapInArrow(_whole_sets, "c long, v long, n long"), "sets")
-    often = materialise(whole.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "frequent")
-    by_class = Window.partitionBy("c")
-    rank = F.row_number().over(by_class.orderBy("f", "v")) + F.col("n") - F.count(F.lit(1)).over(by_class)
-    larger = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    # |A & B| >= 0.75 / 1.75 * (|A| + |B|), and |B| >= |A| for the smaller side A.
-    smaller = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)) + 1
-    typical = F.sum(F.when(F.col("f") > LIST, 1).otherwise(0)).over(by_class) / F.col("n")
-    ranked = whole.join(often, "v").withColumn("typical", typical).withColumn("rank", rank)
-    return materialise(ranked.filter(F.col("rank") <= larger).select("v", "c", "n", "f", (F.col("rank") <= smaller).alias("short"), "typical"), "postings")
+def _leader_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles a member has in common with a leader, how many of those are in long lists, and whether they are linked."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            c, d = batch.column("c").to_pylist(), batch.column("d").to_pylist()
+            texts = dict(zip(c, batch.column("tc").to_pylist(), strict=True)) | dict(zip(d, batch.column("td").to_pylist(), strict=True))
+            sets = dict(zip(texts, (v.copy() for v in shingle_sets(list(texts.values()))), strict=True))
+            out: tuple[list, list, list] = ([], [], [])
+            for x, y, often in zip(c, d, batch.column("often"), strict=True):
+                common = np.intersect1d(sets[x], sets[y], assume_unique=True)
+                out[0].append(len(common))
+                out[1].append(int(np.isin(common, np.asarray(often.values).view(np.uint64)).sum()))
+                out[2].append(100 * len(common) >= PERCENT * (len(sets[x]) + len(sets[y]) - len(common)))
+            columns = [batch.column("c"), batch.column("d"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "d", "common", "inside", "linked"])
+
+
+class _Crowd:
+    """Whole sets of crowded classes, and the lists of the rarest part of each.
+
+    sets: (c, v, n); often: (v, f) with f > 1; postings: (v, c, n, f, short, hot), where short marks the entries of
+    the smaller side of a pair and hot is how many shingles of the class are in long lists.
+    """
+
+    def __init__(self, texts: DataFrame):
+        self.texts = texts
+        self.sets = materialise(texts.mapInArrow(_whole_sets, "c long, v long, n long"), "sets")
+        self.often = materialise(self.sets.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "often")
+        by_class = Window.partitionBy("c")
+        rank = F.row_number().over(by_class.orderBy("f", "v")) + F.col("n") - F.count(F.lit(1)).over(by_class)
+        larger = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+        # |A & B| >= 0.75 / 1.75 * (|A| + |B|), and |B| >= |A| for the smaller side A.
+        smaller = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)) + 1
+        hot = F.sum(F.when(F.col("f") > LIST, 1).otherwise(0)).over(by_class)
+        ranked = self.sets.join(self.often, "v").withColumn("hot", hot).withColumn("rank", rank)
+        self.postings = materialise(ranked.filter(F.col("rank") <= larger).select("v", "c", "n", "f", (F.col("rank") <= smaller).alias("short"), "hot"), "postings")
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(c, d, common, inside, linked) for pairs (c, d) of a member and a leader."""
+        leaders = pairs.select(F.col("d").alias("c")).distinct()
+        long_ones = self.sets.join(leaders, "c").join(self.often.filter(F.col("f") > LIST), "v").groupBy(F.col("c").alias("d")).agg(F.collect_list("v").alias("often"))
+        led = self.texts.select(F.col("c").alias("d"), F.col("text").alias("td")).join(long_ones, "d")
+        led = materialise(led, "leaders")
+        member = self.texts.select("c", F.col("text").alias("tc"))
+        return materialise(pairs.join(led, "d").join(member, "c").mapInArrow(_leader_part, "c long, d long, common long, inside long, linked boolean"), "measured")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
-def _typical_pairs(lists: DataFrame) -> DataFrame:
-    """Each list's most typical member with every other one in another component."""
-    order = F.struct("typical", F.negative("c").alias("c"), "root", "n")
-    first = materialise(lists.groupBy("v").agg(F.max(order).alias("x")).select("v", F.negative("x.c").alias("d"), F.col("x.root").alias("other"), F.col("x.n").alias("m")), "typical")
-    joined_ = lists.join(first, "v").filter("root <> other").filter(_similar_sizes("n", "m") & _similar_sizes("m", "n"))
-    return joined_.select(*_ordered(F.col("c"), F.col("d"))).distinct()
+def _leaders(lists: DataFrame, round_: int) -> DataFrame:
+    """(v, d): each list's most typical member outside the components of its earlier leaders."""
+    earlier = F.lit(True)
+    for r in range(round_):
+        earlier = earlier & (F.col("root") != F.col(f"root{r}"))
+    typical = F.struct((F.col("hot") / F.col("n")).alias("part"), F.negative("c").alias("c"))
+    return materialise(lists.filter(earlier).groupBy("v").agg(F.max(typical).alias("x")).select("v", F.negative("x.c").alias("d")), "leaders")
+
+
+def _long_list_links(crowd: _Crowd, links: DataFrame) -> DataFrame:
+    """(node, root): the components with the links that only long lists of ``crowd`` lead to, beside ``links``.
+
+    In every round all members of a list are measured against a leader; lists in one component are done. For the
+    pairs left, what two members have in common is bounded by what each has in common with a leader, plus what each
+    has in other long lists (a pair with a value of a short list in common was found there). Only pairs that could
+    still be linked, from different components, are checked.
+    """
+    roots = components(links.toDF("u", "v"))
+    lists = crowd.postings.filter(F.col("f") > LIST).drop("f")
+    for round_ in range(ROUNDS):
+        placed = _with_roots(lists, roots)
+        for r in range(round_):
+            placed = placed.join(roots.select(F.col("node").alias(f"d{r}"), F.col("root").alias(f"root{r}")), f"d{r}", "left").withColumn(f"root{r}", F.coalesce(f"root{r}", f"d{r}"))
+        placed = materialise(placed, "placed")
+        several = materialise(placed.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("v"), "several")
+        placed = placed.join(several, "v")
+        leaders = _leaders(placed, round_)
+        if leaders.isEmpty():
+            lists = lists.join(several, "v")
+            break
+        led = materialise(placed.join(leaders, "v"), "led")
+        facts = crowd.measured(materialise(led.filter("c <> d").select("c", "d").distinct(), "pairs"))
+        found = facts.filter("linked").select(F.col("c").alias("u"), F.col("d").alias("v"))
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found))
+        own = led.drop("root", *(f"root{r}" for r in range(round_))).join(facts.drop("linked"), ["c", "d"], "left")
+        common, other = F.coalesce("common", "n"), F.col("hot") - F.coalesce("inside", "hot")
+        lists = materialise(own.withColumn(f"common{round_}", common).withColumn(f"other{round_}", other).withColumnRenamed("d", f"d{round_}").drop("common", "inside"), "lists")
+    measured = [c[6:] for c in lists.columns if c.startswith("common")]
+    placed = materialise(_with_roots(lists, roots), "placed")
+    renamed = {c: f"{c}_" for c in placed.columns if c != "v"}
+    can = F.expr("root <> root_ and (n < n_ or (n = n_ and c < c_))") & _similar_sizes("n", "n_")
+    for r in measured:
+        most = F.least(f"common{r}", f"common{r}_") + F.least(f"other{r}", f"other{r}_")
+        can = can & (most * (100 + PERCENT) >= (F.col("n") + F.col("n_")) * PERCENT)
+    pairs = placed.filter("short").join(placed.withColumnsRenamed(renamed), "v").filter(can).select(*_ordered(F.col("c"), F.col("c_"))).distinct()
+    found = _verified(materialise(pairs, "pairs"), crowd.texts)
+    if found.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found.toDF("u", "v")))
 
 
 def near_links(docs: DataFrame) -> tuple[_Classes, DataFrame]:
@@ -231,28 +309,9 @@ def near_links(docs: DataFrame) -> tuple[_Classes, DataFrame]:
     links = _verified(estimated, texts)
     if crowded.isEmpty():
         return classes, components(links.toDF("u", "v"))
-    postings = _crowded_postings(texts.join(crowded, "c", "left_semi"))
-    links = links.unionAll(_verified(materialise(_short_list_pairs(postings).join(estimated, ["a", "b"], "left_anti"), "more"), texts))
-    roots = components(links.toDF("u", "v"))
-    # A list whose members are all in one component needs no further look.
-    long_lists = postings.filter(F.col("f") > LIST)
-    for round_ in range(ROUNDS + 1):
-        placed = materialise(_with_roots(long_lists, roots), "placed")
-        several = materialise(placed.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("v"), "several")
-        placed = materialise(placed.join(several, "v"), "several_lists")
-        if placed.isEmpty():
-            break
-        if round_ < ROUNDS:
-            pairs = _typical_pairs(placed)
-        else:
-            right = placed.select("v", F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))
-            fits = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("c") < F.col("d")))
-            pairs = placed.filter("short").join(right, "v").filter(fits & _similar_sizes("n", "m") & F.expr("root <> other")).select(*_ordered(F.col("c"), F.col("d"))).distinct()
-        found = _verified(materialise(pairs, "pairs"), texts)
-        if not found.isEmpty():
-            links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found.toDF("u", "v"))
-            roots = components(links)
-    return classes, roots
+    crowd = _Crowd(materialise(texts.join(crowded, "c", "left_semi"), "crowded_texts"))
+    more = materialise(_short_list_pairs(crowd.postings).join(estimated, ["a", "b"], "left_anti"), "more")
+    return classes, _long_list_links(crowd, links.unionAll(_verified(more, crowd.texts)))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
