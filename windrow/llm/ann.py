@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Trees, bits of a string, share of a block's rows to collect, seed of the directions.
-TREES, BITS, SHARE, SEED = 32, 16, 0.5, 7
+#: Trees, bits of a string, seed of the directions; share of a block's rows to collect, and the number at least.
+TREES, BITS, SEED, SHARE, LEAST = 32, 16, 7, 0.5, 600
 #: Rows and queries that one task holds; a small table is still dealt into up to SPREAD blocks of LEAST_ROWS or more.
 BLOCK_ROWS, BLOCK_QUERIES, LEAST_ROWS, SPREAD = 65_536, 16_384, 1024, 48
 
@@ -92,7 +92,7 @@ def search_block(key, both: pa.Table, k: int, share: float) -> pa.Table:
         unit = rows / scale[:, None]
         queries, query_ids = vectors[asked], ids[asked]
         norms = np.sqrt((queries * queries).sum(1))
-        for q, found in Forest(unit).search(queries / norms[:, None], max(k + 1, int(share * len(rows)))):
+        for q, found in Forest(unit).search(queries / norms[:, None], max(k + 1, LEAST, int(share * len(rows)))):
             found = found[row_ids[found] != query_ids[q]]
             rough = unit[found] @ (queries[q] / norms[q])
             if len(found) > k:
