@@ -389,3 +389,18 @@ def test_streams(spark, sf):
     counted = windowed_counts(df, "ts", 86400).collect()
     assert {r["p"]: r["row_count"] for r in counted} == counts(table)
     assert dt.datetime.fromtimestamp(min(counts(table)), dt.UTC).date() == dt.date(2024, 1, 1)
+
+
+def test_data_source_prunes_by_plain_sql(spark):
+    from windrow.sources.datasource import WindrowDataSource
+
+    spark.dataSource.register(WindrowDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    table = make(spark, rows=list(zip(at("12:15", "12:45", "13:15", "14:15"), "abcd")))
+    spark.read.format("windrow").load(table.path).createOrReplaceTempView("by_source")
+    assert sorted(r["col2"] for r in spark.sql("select col2 from by_source").collect()) == list("abcd")
+    table.files.delete(f"data/_v={table.manifest.windows[NOON + 7200].segments[0]}/_p={NOON + 7200}")
+    early = spark.sql("select col2 from by_source where col1 < timestamp_ntz'2024-01-01 14:00:00' and col2 <> 'b'")
+    assert sorted(r["col2"] for r in early.collect()) == ["a", "c"]
+    table.drop_partition(NOON)
+    assert spark.read.format("windrow").load(table.path).filter("col1 < timestamp_ntz'2024-01-01 13:00:00'").count() == 0
