@@ -21,7 +21,7 @@ BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = 32, 131_072, 8192, 20240101
 #: Weights of the sources in order, repeating; the share of all words that the mix takes; turns at most.
 WEIGHTS, SHARE, TURNS = (5, 2, 1), 1.5, 2
 #: Rows of (document, copies) that may be broadcast (about 40 bytes each); more of them join by shuffle.
-BROADCAST = 1_000_000
+BROADCAST = 500_000
 
 
 def hash32(salt: str):

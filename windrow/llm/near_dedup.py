@@ -33,7 +33,7 @@ from .hashing import Spans, groups, joined, mixed, runs
 #: Words in a shingle, similarity in hundredths, values in a sketch, share of a sketch that a pair must have in common.
 WORDS, PERCENT, K, OVERLAP = 5, 75, 64, 0.45
 #: Classes in a list that gives all its pairs; rounds over longer ones; rows of ids that may be broadcast (16 bytes each).
-LIST, ROUNDS, BROADCAST = 64, 2, 1_000_000
+LIST, ROUNDS, BROADCAST = 64, 2, 500_000
 
 _FACTORS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
