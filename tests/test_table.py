@@ -217,6 +217,14 @@ def test_reload_and_conflict(spark):
         commit(Files(spark, table.path), manifest)
 
 
+def test_a_reader_far_behind_catches_up(spark):
+    table = make(spark, rows=at("12:15"))
+    other = PartitionedTable.load(spark, table.path)
+    for i in range(14):
+        table.set_expiry(NOON, i)
+    assert other.manifest.version == table.manifest.version and other.expired(13) == [NOON]
+
+
 def test_batches_are_added_once(spark):
     table = make(spark)
     rows = spark.createDataFrame([("2024-01-01 12:20", "y")], "col1 string, col2 string")

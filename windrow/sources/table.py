@@ -35,6 +35,7 @@ class PartitionedTable:
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
         self._manifest, self._staged = manifest, None
         self._pending: list[tuple] = []
+        self._listed: dict[str, tuple[Manifest, DataFrame]] = {}
         self.companions: dict[str, Companion] = {d.name: make_companion(d, self.spec) for d in self.spec.companions}
 
     # Lifecycle
@@ -217,26 +218,27 @@ class PartitionedTable:
         return self.spark.read.schema(full).option("basePath", base).parquet(*paths)
 
     def _segments(self, top: str, schema: T.StructType | None, bounds: Bounds) -> DataFrame:
-        """The live rows of the windows within bounds.
+        """The live rows of the windows within bounds, which Spark prunes in the list of files.
 
-        Segments of which every window counts are read by their folder, and Spark prunes the windows; of the others
-        the windows that count are named."""
+        That list is made once for each manifest. Segments of which every window counts are listed by their folder;
+        of the others the windows that count are named."""
         manifest = self.manifest
-        live = {s: [p for p in ps if bounds.holds(p)] for s, ps in manifest.live().items()}
-        whole, parts = [], []
-        for segment, starts in live.items():
-            if not starts:
-                continue
-            folder = f"{self.path}/{top}/{SEGMENT}={segment}"
-            if set(manifest.written.get(segment, ())) == set(manifest.live()[segment]):
-                whole.append(folder)
+        known, out = self._listed.get(top, (None, None))
+        if known is not manifest:
+            whole, parts = [], []
+            for segment, starts in manifest.live().items():
+                folder = f"{self.path}/{top}/{SEGMENT}={segment}"
+                if set(manifest.written.get(segment, ())) == set(starts):
+                    whole.append(folder)
+                else:
+                    parts += [f"{folder}/{WINDOW}={p}" for p in starts]
+            schema = schema or self.spec.schema()
+            full = T.StructType([*schema.fields, T.StructField(SEGMENT, T.LongType()), T.StructField(WINDOW, T.LongType())])
+            if whole or parts:
+                out = self.spark.read.schema(full).option("basePath", f"{self.path}/{top}").parquet(*whole, *parts).drop(SEGMENT)
             else:
-                parts += [f"{folder}/{WINDOW}={p}" for p in starts]
-        schema = schema or self.spec.schema()
-        if not whole and not parts:
-            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(WINDOW, T.LongType())]))
-        full = T.StructType([*schema.fields, T.StructField(SEGMENT, T.LongType()), T.StructField(WINDOW, T.LongType())])
-        out = self.spark.read.schema(full).option("basePath", f"{self.path}/{top}").parquet(*whole, *parts).drop(SEGMENT)
+                out = self.spark.createDataFrame([], full).drop(SEGMENT)
+            self._listed[top] = manifest, out
         within = bounds.column(WINDOW)
         return out if within is None else out.filter(within)
 
