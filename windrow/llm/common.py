@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once per application; they may run where it isn't installed."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_windrow_shipped", False) or not package.is_dir():
+        return
+    folder = Path(tempfile.mkdtemp(prefix="windrow-"))  # Spark serves the file from here as long as the driver runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "windrow_source.zip", "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(folder / "windrow_source.zip"))
+    context._windrow_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
-from .common import shared_path, table
+from .common import shared_path, ship, table
 from .exact_dedup import exact_groups
 from .language_id import identify
 from .mixing import BLOCK, MOST_SHARDS, SEED, SHARD_WORDS, mix
@@ -17,7 +19,6 @@ from .toxicity import score_toxicity
 from .url_filter import judge
 from .warc import read_archives, write_archives
 
-
 #: The tokenizer that op7 and the pipeline encode with.
 MODEL = "piece_bpe_32k.model"
 
@@ -64,7 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_exact_dedup, op4_language_id, op5_mix_sources, op6_pii, op7_sentencepiece, op8_ann, op9_url_filter, op10_toxicity)}
+def shipped(query):
+    """The query, with this package sent to the Python workers first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_warc, op2_near_dedup, op3_exact_dedup, op4_language_id, op5_mix_sources, op6_pii, op7_sentencepiece, op8_ann, op9_url_filter, op10_toxicity)}
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
