@@ -341,6 +341,19 @@ def test_knn(spark):
     assert [r["col2"] for r in table.knn("emb", [0, 0, 1, 0], 1, metric="l1").collect()] == ["c"]
 
 
+@pytest.mark.parametrize("size", [3, 200])
+def test_distances(spark, size):
+    import math
+
+    from windrow.operators.knn import METRICS, distance
+
+    a, b = [float(i % 7) for i in range(size)], [float((i * i) % 5) - 1 for i in range(size)]
+    row = spark.createDataFrame([(a, None)], "v array<float>, n array<float>").select(*(distance(F.col("v"), b, m).alias(m) for m in METRICS), distance(F.col("n"), b).alias("null")).first()
+    assert row["null"] is None
+    assert math.isclose(row["l2"], math.dist(a, b)) and math.isclose(row["l1"], sum(abs(x - y) for x, y in zip(a, b)))
+    assert math.isclose(row["cosine"], 1 - sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b))
+
+
 def test_knn_after_changes(spark):
     table = vectors(spark)
     table.update(C2 == "c", {"emb": "[0.8,0,0,0]"})

@@ -28,30 +28,36 @@ def as_vector(value: Iterable[float] | str) -> list[float]:
     return out
 
 
+#: Components up to which sums are written out, which keeps them in generated code; longer ones are folded.
+UNROLLED = 128
+
+
 def distance(vector: Column, query: list[float], metric: str = "l2") -> Column:
     """Distance of a column of vectors to a query, in double precision, summed in the order of the components.
 
-    The sum is written out, which keeps it in generated code; null for vectors that are null or of another length.
+    Null for vectors that are null or of another length.
     """
     if metric not in METRICS:
         raise WhereClauseError(f"unknown metric {metric!r}; known are {', '.join(METRICS)}")
-    part = lambda i: vector.getItem(i).cast("double")
-    total = lambda terms: _sum(list(terms))
     if metric == "l2":
-        out = F.sqrt(total((part(i) - q) * (part(i) - q) for i, q in enumerate(query)))
+        out = F.sqrt(_total(vector, query, lambda x, q: (x - q) * (x - q)))
     elif metric == "l1":
-        out = total(F.abs(part(i) - q) for i, q in enumerate(query))
+        out = _total(vector, query, lambda x, q: F.abs(x - q))
     else:
         norm = sum(q * q for q in query) ** 0.5
-        out = 1 - total(part(i) * q for i, q in enumerate(query)) / (F.sqrt(total(part(i) * part(i) for i in range(len(query)))) * norm)
+        out = 1 - _total(vector, query, lambda x, q: x * q) / (F.sqrt(_total(vector, query, lambda x, q: x * x)) * norm)
     return F.when(F.size(vector) == len(query), out)
 
 
-def _sum(terms: list[Column]) -> Column:
-    out = terms[0]
-    for term in terms[1:]:
-        out = out + term
-    return out
+def _total(vector: Column, query: list[float], term) -> Column:
+    """The sum of a term over the components of a vector and a query."""
+    if len(query) <= UNROLLED:
+        terms = [term(vector.getItem(i).cast("double"), F.lit(q)) for i, q in enumerate(query)]
+        out = terms[0]
+        for t in terms[1:]:
+            out = out + t
+        return out
+    return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, query)), lambda x, q: term(x.cast("double"), q)), F.lit(0.0), lambda total, x: total + x)
 
 
 def nearest(rows: DataFrame, column: str, query: Iterable[float] | str, k: int, metric: str = "l2", ties: Iterable[str] = ()) -> DataFrame:
