@@ -26,8 +26,7 @@ BROADCAST = 500_000
 
 def heavy_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(digest, keep_id, group_size) of every digest in at least two rows and ``support`` of all rows; at most 1 / support rows."""
-    least = F.greatest(F.lit(2.0), F.lit(support) * F.col("n"))
-    total = digests.agg(F.count(F.lit(1)).alias("n"))
+    least = max(2.0, support * digests.count())  # one number
     spelled = digests.select(F.hex("digest").alias("spelled"))  # the counters' map compares strings, not byte arrays
     named = spelled.stat.freqItems(["spelled"], support).select(F.explode("spelled_freqItems").alias("spelled"))
     named = named.distinct().select(F.unhex("spelled").alias("digest"))
@@ -36,7 +35,7 @@ def heavy_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
         .groupBy("digest")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
-    return counted.join(F.broadcast(total)).filter(F.col("group_size") >= least).drop("n")
+    return counted.filter(F.col("group_size") >= least)
 
 
 def _digest():
