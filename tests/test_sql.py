@@ -1,0 +1,97 @@
+import pytest
+
+from windrow.errors import CompanionError, MatchRequiresCompanion, TableError, WhereClauseError
+from windrow.plans.bounds import Bounds, Span
+from windrow.sources.scratch import scratch
+from windrow.sql import Session, bounds_of_scan
+
+NOON = 1704110400
+
+
+@pytest.fixture
+def db(spark):
+    db = Session(spark, scratch(spark, "db"))
+    db.sql("CREATE VIRTUAL TABLE t USING windrow(1 hour, lifetime 1 day, ts timestamp partition_column, kind text)")
+    db.sql("INSERT INTO t VALUES ('2024-01-01 12:15', 'a'), ('2024-01-01 12:45', 'b'), ('2024-01-01 13:15', 'c'), ('2999-01-01', 'z')")
+    return db
+
+
+def kinds(df):
+    return sorted(r["kind"] for r in df.collect())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_select_prunes(db):
+    df = db.sql("SELECT kind FROM t WHERE ts >= '2024-01-01 12:30' AND ts < '2024-01-01 13:00'")
+    assert kinds(df) == ["b"] and f"(_p#" in plan(df) and f"= {NOON})" in plan(df)
+    assert kinds(db.sql("SELECT kind FROM t WHERE ts = '2024-01-01 12:15' OR ts > '2024-01-01 13:00'")) == ["a", "c", "z"]
+    assert kinds(db.sql("SELECT kind FROM t WHERE ts IN ('2024-01-01 12:15', '2024-01-01 13:15')")) == ["a", "c"]
+    assert kinds(db.sql("SELECT kind FROM t WHERE ts > '2024-01-02' AND ts < '2024-01-01'")) == []
+    assert kinds(db.sql("SELECT a.kind FROM t a JOIN t b ON a.ts = b.ts WHERE b.ts < '2024-01-01 12:30'")) == ["a"]
+    assert db.sql("SELECT count(*) AS n FROM t").first()["n"] == 4
+
+
+def test_metadata(db):
+    assert db.sql("SELECT windrow_count_between('t', '2024-01-01 12:00', '2024-01-01 14:00') AS n").first()["n"] == 3
+    assert db.sql("SELECT sum(row_count) AS n FROM t_stats").first()["n"] == 4
+    assert db.sql("SELECT count(*) AS n FROM t_lookup WHERE expires_at IS NOT NULL").first()["n"] == 3
+    assert db.sql(f"SELECT kind FROM t_{NOON + 3600}").first()["kind"] == "c"
+    with pytest.raises(WhereClauseError):
+        db.sql("SELECT windrow_count_between('t', '2024-01-01 12:15', '2024-01-01 14:00')")
+
+
+def test_changes(db):
+    assert db.sql("UPDATE t SET kind = upper(kind) WHERE ts < '2024-01-01 13:00'").first()["rows"] == 2
+    assert db.sql("UPDATE t SET ts = ts + interval 1 hour, kind = 'moved, (b)' WHERE kind = 'B'").first()["rows"] == 1
+    assert kinds(db.sql("SELECT kind FROM t")) == ["A", "c", "moved, (b)", "z"]
+    assert db.sql(f"SELECT row_count FROM t_stats WHERE p = {NOON}").first()["row_count"] == 1
+    assert db.sql("DELETE FROM t WHERE ts >= '2024-01-01 13:00' AND kind <> 'z'").first()["rows"] == 2
+    assert db.sql("SELECT windrow_cleanup('t')").first()[0] == 2
+    assert kinds(db.sql("SELECT kind FROM t")) == ["z"]
+    db.sql("INSERT INTO t (kind, ts) SELECT 'y', ts FROM t")
+    assert kinds(db.sql("SELECT kind FROM t")) == ["y", "z"]
+
+
+def test_transactions(db):
+    db.sql("BEGIN")
+    db.sql("DELETE FROM t")
+    assert kinds(db.sql("SELECT kind FROM t")) == []
+    db.sql("ROLLBACK")
+    assert len(kinds(db.sql("SELECT kind FROM t"))) == 4
+    db.sql("BEGIN TRANSACTION")
+    db.sql("DELETE FROM t WHERE kind = 'a'")
+    db.sql("COMMIT")
+    assert kinds(Session(db.spark, db.root).sql("SELECT kind FROM t")) == ["b", "c", "z"]
+
+
+def test_drop(db):
+    db.sql("DROP TABLE t")
+    with pytest.raises(TableError):
+        db.table("t")
+
+
+def test_search(db):
+    db.sql("CREATE VIRTUAL TABLE v USING windrow(1 hour, ts timestamp partition_column, emb text, kind text, companion vec USING vec0(emb float[4]))")
+    db.sql("INSERT INTO v VALUES ('2024-01-01 10:00', '[1,0,0,0]', 'a'), ('2024-01-01 10:30', '[0.9,0.1,0,0]', 'b'), ('2024-01-01 11:00', '[0,0,1,0]', 'c')")
+    rows = db.sql("SELECT kind, distance FROM v WHERE emb MATCH '[1,0,0,0]' AND k = 3 ORDER BY distance").collect()
+    assert [r["kind"] for r in rows] == ["a", "b", "c"] and rows[0]["distance"] == 0
+    assert kinds(db.sql("SELECT kind FROM v WHERE emb MATCH '[1,0,0,0]' AND k = 3 AND ts >= '2024-01-01 10:15' AND ts < '2024-01-01 11:00'")) == ["b"]
+    assert kinds(db.sql("SELECT kind FROM v WHERE emb MATCH '[0,0,1,0]' AND k = 1 AND ts < '2024-01-01 11:00'")) == ["b"]
+    for bad, error in (
+        ("SELECT kind FROM v WHERE emb MATCH '[1,0,0,0]'", CompanionError), ("SELECT kind FROM v WHERE emb MATCH '[1,0,0,0]' AND k = 0", CompanionError),
+        ("SELECT kind FROM t WHERE kind MATCH '[1]' AND k = 1", MatchRequiresCompanion), ("SELECT kind FROM v WHERE emb MATCH '[1]' AND emb MATCH '[2]' AND k = 1", CompanionError),
+    ):
+        with pytest.raises(error):
+            db.sql(bad)
+
+
+def test_bounds_of_scans():
+    t = "TIMESTAMP_NTZ '1970-01-01 05:30:00'"
+    assert bounds_of_scan([f"(ts >= {t})", "(kind IS NOT NULL)"], "ts", 3600) == Bounds.of(Span(18000, None))
+    assert bounds_of_scan([f"({t} > ts)"], "ts", 3600) == Bounds.of(Span(None, 18000))
+    assert bounds_of_scan([f"((ts = {t}) OR (kind = 'x'))"], "ts", 3600).everything
+    assert bounds_of_scan([f"((ts = {t}) OR ((ts < TIMESTAMP_NTZ '1970-01-01 01:00:00') AND (kind = 'a OR b')))"], "ts", 3600) == Bounds.of(Span(18000, 18000), Span(None, 0))
+    assert bounds_of_scan([f"(ts IN ({t}, TIMESTAMP_NTZ '1970-01-01 00:00:01'))"], "ts", 3600) == Bounds.of(Span(18000, 18000), Span(0, 0))

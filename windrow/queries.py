@@ -16,6 +16,7 @@ from .sources.overlay import Overlay
 from .sources.scratch import scratch
 from .sources.spec import TableSpec
 from .sources.table import PartitionedTable
+from .sql import Session
 from .streaming import stream_into
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +494,36 @@ def partitions_listed(spark, sf_dir):
     return one(spark, n=table._segments("data", None, within).count())
 
 
+def _session(spark, sf_dir) -> Session:
+    db = Session(spark, scratch(spark, "db"))
+    df = read(spark, sf_dir, "events")
+    PartitionedTable.create(spark, f"{db.root}/ev", TableSpec.from_schema(df.schema, "ts", "1 day", lifetime=7 * DAY)).append(df)
+    return db
+
+
+@query("select event_type, count(*) as n from events where ts >= '2024-01-05' and ts < '2024-01-07 06:00' group by event_type")
+def sql_range(spark, sf_dir):
+    return _session(spark, sf_dir).sql("select event_type, count(*) as n from ev where ts >= '2024-01-05' and ts < '2024-01-07 06:00' group by event_type")
+
+
+@query("select a.event_id, b.user_id from events a join events b on a.ts = b.ts where a.ts >= '2024-01-05' and a.ts < '2024-01-06'")
+def sql_join_bounds_inferred(spark, sf_dir):
+    return _session(spark, sf_dir).sql("select a.event_id, b.user_id from ev a join ev b on a.ts = b.ts where a.ts >= '2024-01-05' and a.ts < '2024-01-06'")
+
+
+@query("select event_id, case when ts < '2024-01-03' then 'old' else event_type end as event_type from events where not (event_type = 'view' and ts >= '2024-01-10')")
+def sql_changes(spark, sf_dir):
+    db = _session(spark, sf_dir)
+    db.sql("delete from ev where event_type = 'view' and ts >= '2024-01-10'")
+    db.sql("update ev set event_type = 'old' where ts < '2024-01-03'")
+    return db.sql("select event_id, event_type from ev")
+
+
+@query("select count(*) as n from events where ts >= '2024-01-05' and ts < '2024-01-08'")
+def sql_count_between(spark, sf_dir):
+    return _session(spark, sf_dir).sql("select windrow_count_between('ev', '2024-01-05', '2024-01-08') as n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks per hour of one day."""
     where = (TS >= "2024-01-05") & (TS < "2024-01-06") & (field("event_type") == "click")
