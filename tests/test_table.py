@@ -349,7 +349,8 @@ def test_distances(spark, size):
 
     a, b = [float(i % 7) for i in range(size)], [float((i * i) % 5) - 1 for i in range(size)]
     row = spark.createDataFrame([(a, None)], "v array<float>, n array<float>").select(*(distance(F.col("v"), b, m).alias(m) for m in METRICS), distance(F.col("n"), b).alias("null")).first()
-    assert row["null"] is None
+    zero = spark.sql("select array(0.0, 0.0) as v").select(distance(F.col("v"), [1.0, 2.0], "cosine").alias("d")).first()
+    assert row["null"] is None and zero["d"] is None
     assert math.isclose(row["l2"], math.dist(a, b)) and math.isclose(row["l1"], sum(abs(x - y) for x, y in zip(a, b)))
     assert math.isclose(row["cosine"], 1 - sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b))
 

@@ -28,53 +28,47 @@ def as_vector(value: Iterable[float] | str) -> list[float]:
     return out
 
 
-#: Components up to which sums are written out, which keeps them in generated code; longer ones are folded.
-UNROLLED = 128
-
-
 def distance(vector: Column, query: list[float], metric: str = "l2") -> Column:
     """Distance of a column of vectors to a query, in double precision, summed in the order of the components.
 
-    Null for vectors that are null or of another length.
+    Vectors must be of the query's length; a vector that is null or has a null component has no distance,
+    nor has the zero vector by cosine.
     """
     if metric not in METRICS:
         raise WhereClauseError(f"unknown metric {metric!r}; known are {', '.join(METRICS)}")
+    vector = vector.cast("array<double>")
+    total = lambda values, term: F.aggregate(values, F.lit(0.0), lambda sum_, x: sum_ + term(x))
+    paired = lambda term: F.zip_with(vector, F.array(*map(F.lit, query)), term)
     if metric == "l2":
-        out = F.sqrt(_total(vector, query, lambda x, q: (x - q) * (x - q)))
-    elif metric == "l1":
-        out = _total(vector, query, lambda x, q: F.abs(x - q))
-    else:
-        norm = sum(q * q for q in query) ** 0.5
-        out = 1 - _total(vector, query, lambda x, q: x * q) / (F.sqrt(_total(vector, query, lambda x, q: x * x)) * norm)
-    return F.when(F.size(vector) == len(query), out)
-
-
-def _total(vector: Column, query: list[float], term) -> Column:
-    """The sum of a term over the components of a vector and a query."""
-    if len(query) <= UNROLLED:
-        terms = [term(vector.getItem(i).cast("double"), F.lit(q)) for i, q in enumerate(query)]
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return out
-    return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, query)), lambda x, q: term(x.cast("double"), q)), F.lit(0.0), lambda total, x: total + x)
+        return F.sqrt(total(paired(lambda x, q: x - q), lambda x: x * x))
+    if metric == "l1":
+        return total(paired(lambda x, q: x - q), F.abs)
+    norm = sum(q * q for q in query) ** 0.5
+    return 1 - F.try_divide(total(paired(lambda x, q: x * q), lambda x: x), F.sqrt(total(vector, lambda x: x * x)) * norm)
 
 
 def nearest(rows: DataFrame, column: str, query: Iterable[float] | str, k: int, metric: str = "l2", ties: Iterable[str] = ()) -> DataFrame:
-    """The k rows nearest to a query with their ``distance``; each task keeps k rows, and those are merged."""
+    """The k rows nearest to a query with their ``distance``; each task keeps k rows, and those are merged.
+
+    Vectors of another length than the query's, and those without a distance, are left out. The distance stands
+    once in the plan: filtering by it before the limit would have it computed twice for each row.
+    """
+    query = as_vector(query)
     vector = F.from_json(column, "array<double>") if isinstance(rows.schema[column].dataType, T.StringType) else F.col(column)
-    return rows.withColumn("distance", distance(vector, as_vector(query), metric)).filter(F.col("distance").isNotNull()).orderBy("distance", *ties).limit(k)
+    fitting = rows.filter(F.size(vector) == len(query)).withColumn("distance", distance(vector, query, metric))
+    return fitting.orderBy(F.asc_nulls_last("distance"), *ties).limit(k).filter(F.col("distance").isNotNull())
 
 
-def nearest_rows(table, driver, column: str, vector, k, where, mode: str, metric: str, ties) -> DataFrame:
-    """PartitionedTable.knn."""
+def nearest_rows(table, driver, column: str, vector, k, where, mode: str, metric: str, ties, bounds: Bounds | None = None) -> DataFrame:
+    """PartitionedTable.knn; the windows to search are those that ``where`` can reach, or are given."""
     if driver is None:
         raise MatchRequiresCompanion(f"no vector companion searches {column!r}")
     if k is None or isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise CompanionError("a search needs k, a number from 1 on")
     if mode not in ("post", "pre"):
         raise WhereClauseError("mode is post or pre")
-    bounds = table._bounds(where) if where is not None else Bounds()
+    if bounds is None:
+        bounds = table._bounds(where) if where is not None else Bounds()
     rows = table._segments("data", None, bounds)
     condition = None if where is None else table._condition(where)
     if condition is not None and mode == "pre":
