@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,21 @@ def ship(spark: SparkSession) -> None:
     context._windrow_shipped = True
 
 
+def lean(part):
+    """A function over batches that gives freed memory back to the system when it ends; workers live on for other tasks."""
+
+    @functools.wraps(part)
+    def run(batches):
+        try:
+            yield from part(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Base of the polynomial hash (odd, so it has an inverse modulo 2 ** 64), and characters handled at once.
-BASE, CHARS = 0x9E3779B97F4A7C15, 1_000_000
+BASE, CHARS = 0x9E3779B97F4A7C15, 250_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

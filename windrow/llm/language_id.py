@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .hashing import groups, joined, letters, mixed
 
 #: Families of languages by ISO 639-1 code. A language that isn't listed is a family of its own.
@@ -144,7 +145,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
             held = pa.array([v.astype(np.float16).tobytes() if ok else None for v, ok in zip(x, lettered, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("drawn"), batch.column("lang"), held], ["drawn", "lang", "x"])
 
-    rows = chosen.select("drawn", "lang", "text").mapInArrow(part, "drawn double, lang string, x binary").filter("x is not null").collect()
+    rows = chosen.select("drawn", "lang", "text").mapInArrow(lean(part), "drawn double, lang string, x binary").filter("x is not null").collect()
     rows = sorted(((r["lang"], r["drawn"], bytes(r["x"])) for r in rows))
     rows = [r for n, r in enumerate(rows) if n < each or rows[n - each][0] != r[0]]
     if not rows:
@@ -182,7 +183,7 @@ def identify(docs: DataFrame, model: Hierarchy | None = None) -> DataFrame:
                 columns = [some.column("doc_id"), some.column("held_out"), pa.array(language, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(part, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(part), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Hierarchy | None = None) -> DataFrame:
@@ -196,4 +197,4 @@ def keep_identified(docs: DataFrame, model: Hierarchy | None = None) -> DataFram
                 language, _ = predict(model, [t.as_py() for t in some.column("text")])
                 yield some.filter(pa.array([x != UNDETERMINED for x in language]))
 
-    return docs.mapInArrow(part, docs.schema)
+    return docs.mapInArrow(lean(part), docs.schema)

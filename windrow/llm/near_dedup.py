@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import bounded_broadcast, lean, materialise
 from .components import components
 from .hashing import Spans, groups, joined, mixed, runs
 
@@ -162,7 +162,7 @@ class _Classes:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs
-        self.rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketch_part, "doc_id long, n long, name binary, sketch array<long>"), "sketches")
+        self.rows = materialise(docs.select("doc_id", "text").mapInArrow(lean(_sketch_part), "doc_id long, n long, name binary, sketch array<long>"), "sketches")
         grouped = self.rows.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.table = materialise(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
 
@@ -177,7 +177,7 @@ class _Classes:
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         side = lambda k: self.table.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_part, "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(_estimate_part), "a long, b long")
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """(c, text) of the classes in wanted (c), from one document each."""
@@ -185,12 +185,12 @@ class _Classes:
         named = materialise(self.table.select("c", "name", key(F.col("rep")).alias("key")).join(wanted, "c"), "wanted")
         named = bounded_broadcast(named, named.count(), BROADCAST)
         found = self.docs.select(key(F.col("doc_id")).alias("key"), "text").join(named, "key").select("c", "name", "text")
-        return materialise(found.mapInArrow(_same_set, "c long, text string").dropDuplicates(["c"]), "texts")
+        return materialise(found.mapInArrow(lean(_same_set), "c long, text string").dropDuplicates(["c"]), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda k: texts.select(F.col("c").alias(k), F.col("text").alias(f"t{k}"))
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_part, "a long, b long"), "links")
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(_verify_part), "a long, b long"), "links")
 
 
 def _leader_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ class _Crowd:
 
     def __init__(self, texts: DataFrame):
         self.texts = texts
-        self.sets = materialise(texts.mapInArrow(_whole_sets, "c long, v long, n long"), "sets")
+        self.sets = materialise(texts.mapInArrow(lean(_whole_sets), "c long, v long, n long"), "sets")
         self.often = materialise(self.sets.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "often")
         by_class = Window.partitionBy("c")
         rank = F.row_number().over(by_class.orderBy("f", "v")) + F.col("n") - F.count(F.lit(1)).over(by_class)
@@ -238,7 +238,7 @@ class _Crowd:
         led = self.texts.select(F.col("c").alias("d"), F.col("text").alias("td")).join(long_ones, "d")
         led = materialise(led, "leaders")
         member = self.texts.select("c", F.col("text").alias("tc"))
-        return materialise(pairs.join(led, "d").join(member, "c").mapInArrow(_leader_part, "c long, d long, common long, inside long, linked boolean"), "measured")
+        return materialise(pairs.join(led, "d").join(member, "c").mapInArrow(lean(_leader_part), "c long, d long, common long, inside long, linked boolean"), "measured")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The patterns of the contract. Emails are found from their at sign and an address does not start
@@ -365,4 +367,4 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 spans = pa.array([spelled([x + y for x, y in zip(b, m, strict=True)]) for b, m in zip(base, more, strict=True)])
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), *counts, digest, spans], names)
 
-    return docs.select("doc_id", "text").mapInArrow(part, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(lean(part), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

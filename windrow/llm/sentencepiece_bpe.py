@@ -21,10 +21,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: The library's mark for a space, and the rank beyond all tokens.
 MARK, NEVER = "▁", 1 << 60
-#: Pieces kept per Python worker; the table is emptied when it is full, which costs time and changes nothing.
-MOST_KEPT, LONGEST_KEPT = 300_000, 64
+#: Pieces and tested pairs kept per Python worker; a table is emptied when it is full, which costs time and changes nothing.
+MOST_KEPT, LONGEST_KEPT, MOST_PAIRS = 250_000, 64, 200_000
 
 
 class PrefixTable:
@@ -64,7 +66,7 @@ class PrefixTable:
         self.column[[ord(c) for c in inside]] = np.arange(1, len(inside) + 1)
         self.joins = np.zeros((len(inside) + 1, len(inside) + 1), bool)
         self.joins[[self.column[ord(a)] for a, _ in pairs], [self.column[ord(b)] for _, b in pairs]] = True
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.kept = _Kept(self)
 
     def spines(self, rank: dict[str, int]) -> None:
@@ -97,7 +99,8 @@ class PrefixTable:
         Along the border, the parts of a's right spine and b's left spine grow by their ranks; a and b stay apart
         unless some two parts meet that merge before either of them grows. Of equal ranks the left one goes first.
         """
-        known = self.fits.get((a, b))
+        pair = a << 20 | b
+        known = self.fits.get(pair)
         if known is not None:
             return known
         x, y = self.piece[a], self.piece[b]
@@ -116,9 +119,9 @@ class PrefixTable:
                 i += 1
             else:
                 j += 1
-        if len(self.fits) > 500_000:
+        if len(self.fits) >= MOST_PAIRS:
             self.fits.clear()
-        self.fits[a, b] = fits
+        self.fits[pair] = fits
         return fits
 
     def _known(self, text: str) -> list[int]:
@@ -217,23 +220,32 @@ class PrefixTable:
         return [i for p in self.pieces(text) for i in self.encode_piece(p)]
 
     def summary(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, the ids joined by commas, the text decoded from them); null counts as empty."""
+        """(number of ids, the ids joined by commas, the text decoded from them); null counts as empty.
+
+        A piece is decoded from its ids when it is met first. All pieces but odd ones decode to themselves, so the
+        text decodes to itself unless it has an odd piece; then its ids are decoded one by one.
+        """
         if not text:
             return 0, "", ""
-        spelled, decoded = zip(*map(self.kept.__getitem__, self.pieces(text)))
-        ids = ",".join(spelled)
-        return ids.count(",") + 1, ids, "".join(decoded)[1:]
+        pieces = self.pieces(text)
+        ids = ",".join(map(self.kept.__getitem__, pieces))
+        if self.kept.odd:
+            return ids.count(",") + 1, ids, self.decode([int(i) for i in ids.split(",")])
+        return ids.count(",") + 1, ids, "".join(pieces)[1:].replace(MARK, " ")
 
 
 class _Kept(dict):
-    """Pieces and their (ids, decoded text); bounded in number and in the length of a piece."""
+    """Pieces and their ids as text; bounded in number and in the length of a piece.
+
+    ``odd`` tells whether any piece was met whose ids decode to another text."""
 
     def __init__(self, table: PrefixTable):
-        self.table = table
+        self.table, self.odd = table, False
 
-    def __missing__(self, piece: str) -> tuple[str, str]:
+    def __missing__(self, piece: str) -> str:
         ids = self.table.encode_piece(piece)
-        out = ",".join(map(str, ids)), self.table.decode_piece(ids).replace(MARK, " ")
+        self.odd |= self.table.decode_piece(ids) != piece
+        out = ",".join(map(str, ids))
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_KEPT:
                 self.clear()
@@ -276,7 +288,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
             ids = pa.array([table.encode(t.as_py() or "") for t in batch.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(part, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(part), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -288,7 +300,7 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
             text = pa.array([table.decode(i.as_py() or []) for i in batch.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(part, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(part), "doc_id long, text string")
 
 
 def tokenised(docs: DataFrame, model_path: str) -> DataFrame:
@@ -310,4 +322,4 @@ def tokenised(docs: DataFrame, model_path: str) -> DataFrame:
             columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(part, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(part), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .hashing import Spans, groups, joined, letters, mixed, runs
 
 #: Lengths of words' beginnings that are terms too.
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
                     held[first + k] = terms[cuts[k] : cuts[k + 1]].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(held, pa.binary())], ["doc_id", "toxic", "terms"])
 
-    rows = rows.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(part, "doc_id long, toxic int, terms binary").collect()
+    rows = rows.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(lean(part), "doc_id long, toxic int, terms binary").collect()
     rows = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in rows)
     if not rows:
         return None
@@ -158,4 +159,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Machine | None = N
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(part, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(part), "doc_id long, held_out boolean, score double, predicted int")
