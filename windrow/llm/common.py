@@ -25,8 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows in an Arrow batch. Documents are long, and a batch is held by the JVM and by the Python worker.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the Python workers, once per application; they may run where it isn't installed."""
+    """Send this package's source to the Python workers, once per application; they may run where it isn't installed.
+
+    A session that doesn't set the size of Arrow batches gets one that suits long texts."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
     if getattr(context, "_windrow_shipped", False) or not package.is_dir():
         return
