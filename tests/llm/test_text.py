@@ -185,6 +185,27 @@ def test_mix_rows(spark, sf):
     assert abs(words - 1.5 * whole) < 0.1 * whole
 
 
+def test_mix_rows_meets_every_source_s_target(spark):
+    """90 sources of 30 documents each, in a corpus of some 90 shards: about one document of a source in each shard."""
+    draw = random.Random(5)
+    sizes = [(i, f"s{i % 90:02}", draw.randint(2000, 6800)) for i in range(2700)]
+    frame = spark.createDataFrame(sizes, "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    whole, longest = Counter(), Counter()
+    for _, s, n in sizes:
+        whole[s] += n
+        longest[s] = max(longest[s], n)
+    got = {r["source"]: r["n"] for r in mix_rows(frame).groupBy("source").agg(F.sum(F.length("text") / 2).alias("n")).collect()}
+    for s, target in brute_targets(whole).items():
+        assert abs(got[s] - target) <= 1.05 * longest[s], (s, got[s] / target)
+
+
+def test_mix_rows_equal_rows(spark):
+    rows = [(1, "a b c", "en", "s")] * 7 + [(None, "a b c", "en", "s")] * 5 + [(2, "a b", "en", "t"), (3, None, "en", "t")]
+    got = Counter(map(tuple, mix_rows(docs(spark, rows)).collect()))
+    assert sum(n * len(r[1].split()) for r, n in got.items() if r[3] == "s") in range(51 - 3, 51 + 4)
+    assert got[(2, "a b", "en", "t")] == 2 and set(got) <= set(rows) and (3, None, "en", "t") not in got
+
+
 def test_apportionment_is_sainte_lague(spark):
     draw = random.Random(8)
     for _ in range(6):

@@ -20,6 +20,8 @@ from .common import WORD, bounded_broadcast, materialise
 BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = 32, 131_072, 8192, 20240101
 #: Weights of the sources in order, repeating; the share of all words that the mix takes; turns at most.
 WEIGHTS, SHARE, TURNS = (5, 2, 1), 1.5, 2
+#: Classes of size per doubling and documents in a piece, where whole documents are taken.
+CLASSES, PIECE = 16, 256
 #: Rows of (document, copies) that may be broadcast (about 40 bytes each); more of them join by shuffle.
 BROADCAST = 500_000
 
@@ -140,16 +142,50 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) ->
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
 
 
+def _copies(sized: DataFrame) -> DataFrame:
+    """(key, size, mark, rows, copies) of ``sized`` (source, key, size, mark, rows): whole documents to meet the targets.
+
+    A source's ratio of target to size is carried along its documents, those of like size together, in a seeded
+    order; a document's copies are the whole numbers that it passes. So a source's copies differ from the ratio by
+    less than one at every point of the order, and their words from the target by about its longest document at most.
+    Positions are counted in two steps, over pieces of PIECE documents and within them.
+    """
+    targets = materialise(source_targets(sized.withColumn("size", F.col("size") * F.col("rows"))), "targets")
+    classed = sized.filter("size > 0").withColumn("class", F.floor(F.log2("size") * CLASSES).cast("int"))
+    classes = classed.groupBy("key", "class").agg(F.least(F.lit(MOST_SHARDS), F.ceil(F.count(F.lit(1)) / PIECE)).cast("long").alias("pieces"))
+    classes = materialise(classes, "classes")
+    placed = classed.join(bounded_broadcast(classes, classes.count(), BROADCAST), ["key", "class"]).withColumn("piece", F.pmod("mark", "pieces"))
+    before = Window.partitionBy("key").orderBy("class", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}c"), F.col("key"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    pieces = (
+        placed.groupBy("key", "class", "piece")
+        .agg(F.sum("rows").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(targets.select("key", (F.col("target") / F.col("source_size")).alias("ratio"), begin.alias("begin")), "key")
+        .drop("n")
+    )
+    pieces = materialise(pieces, "pieces")
+    line = Window.partitionBy("key", "class", "piece").orderBy("size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = lambda n: F.floor(F.col("begin") + F.col("ratio") * (F.col("before") + n))
+    laid = placed.withColumn("upto", F.sum("rows").over(line)).join(pieces, ["key", "class", "piece"])
+    return laid.select("key", "size", "mark", "rows", (passed(F.col("upto")) - passed(F.col("upto") - F.col("rows"))).cast("int").alias("copies"))
+
+
 def mix_rows(docs: DataFrame) -> DataFrame:
-    """The mix as rows of ``docs``, all columns: every document as often as the mix takes it, to the nearest whole number.
+    """The mix as rows of ``docs``, all columns: every document 0, 1 or 2 times, so that each source meets its target.
 
-    Rows that agree in doc_id, source and size share what the mix takes of them evenly.
+    Documents without words are left out. Rows that agree in all columns are told apart by nothing, so one of them
+    stands for all; columns of kinds that have no hash are not compared.
     """
-    of = ["doc_id", "key", "size"]
-    null_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")
-    taken = mix(docs).groupBy(*of).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    copies = F.round(F.col("taken") / (F.col("size") * F.col("rows"))).cast("int")
-    often = materialise(taken.filter("size > 0").select(null_id("doc_id"), "key", "size", copies.alias("copies")).filter("copies > 0"), "copies")
-    rows = docs.select(F.struct("*").alias("row"), null_id("doc_id"), source_key().alias("key"), _size())
-    found = rows.join(bounded_broadcast(often, often.count(), BROADCAST), ["id", "key", "size"])
+    of = ["key", "size", "mark"]
+    compared = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    mark = F.xxhash64(F.lit(SEED), F.array(*(c.isNull() for c in compared)), *compared).alias("mark")
+    sized = docs.select("source", source_key().alias("key"), _size(), mark)
+    sized = materialise(sized.groupBy("source", *of).agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    often = materialise(_copies(sized).filter("copies > 0"), "copies")
+    rows = docs.select(F.struct("*").alias("row"), source_key().alias("key"), _size(), mark)
+    found = rows.join(bounded_broadcast(often, often.count(), BROADCAST), of)
+    if not (several := often.filter("rows > 1")).isEmpty():
+        equal = rows.join(bounded_broadcast(several, several.count(), BROADCAST), of).dropDuplicates(of)
+        found = found.filter("rows = 1").unionByName(equal)
     return found.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
