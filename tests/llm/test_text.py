@@ -185,6 +185,20 @@ def test_mix_rows(spark, sf):
     assert abs(words - 1.5 * whole) < 0.1 * whole
 
 
+def test_mix_of_many_small_pieces(spark):
+    """A source that stands at twice its words, in 2000 pieces of a few words: none of it is lost."""
+    draw = random.Random(9)
+    rows = [(i, "w " * draw.randint(1, 60), "en", "a") for i in range(1500)] + [(9000 + i, "w " * 9000, "en", "b") for i in range(20)]
+    frame = docs(spark, rows)
+    words = Counter()
+    for _, text, _, s in rows:
+        words[s] += len(text) // 2
+    found = mix(frame, shard_words=sum(words.values()) // 2000).collect()
+    assert all(0 <= r["taken"] <= TURNS * r["size"] for r in found)
+    for s, target in brute_targets(words).items():
+        assert abs(sum(r["taken"] for r in found if r["key"] == f"={s}") - target) <= 64, s
+
+
 def test_mix_rows_meets_every_source_s_target(spark):
     """90 sources of 30 documents each, in a corpus of some 90 shards: about one document of a source in each shard."""
     draw = random.Random(5)

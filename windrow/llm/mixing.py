@@ -2,7 +2,7 @@
 
 The mix is made of equal blocks of ``BLOCK`` words. Sainte-Lague's highest quotients (target / (2 k + 1)) give
 every source an integer number of blocks, and the same rule deals each source's blocks to its shards, in
-proportion to their sizes. Within a shard the documents stand in a seeded order and their words form a ring; the
+proportion to their sizes; what is beyond twice a shard's words is dealt again. Within a shard the documents stand in a seeded order and their words form a ring; the
 quota's blocks are laid round it from a seeded place, so that no word is taken a third time before all are taken twice.
 
 All tables but the first two are per source or per (source, shard); the documents are dealt out once, by
@@ -97,6 +97,25 @@ def apportion(parties: DataFrame, group: list[str], claim: str, seats: str, orde
     return bounded.join(won, keys, "left").withColumn(out, quota).drop("_n", "_sum", "_few", "_many", "_open", "_won")
 
 
+def deal_again(pieces: DataFrame, block: int) -> DataFrame:
+    """``pieces`` (key, shard, words, blocks, quota) with the whole blocks dealt again that a source has lost.
+
+    Pieces lose what is beyond TURNS times their words. That goes to the source's pieces by the room that each has
+    left, in cumulative whole shares: none gets more than its room, and all is dealt as far as there is room.
+    """
+    whole = Window.partitionBy("key")
+    share = lambda upto: F.expr(f"cast(_lost as decimal(19,0)) * cast({upto} as decimal(19,0)) div _rooms")
+    return (
+        pieces.withColumn("_room", TURNS * F.col("words") - F.col("quota"))
+        .withColumn("_rooms", F.sum("_room").over(whole))
+        .withColumn("_upto", F.sum("_room").over(whole.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("_taken", F.sum("quota").over(whole))
+        .withColumn("_lost", F.least(F.expr(f"(blocks * {block} - _taken) div {block} * {block}"), F.col("_rooms")))
+        .withColumn("quota", F.col("quota") + F.when(F.col("_lost") > 0, share("_upto") - share("_upto - _room")).otherwise(0))
+        .drop("_room", "_rooms", "_upto", "_taken", "_lost")
+    )
+
+
 def _size():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
 
@@ -119,9 +138,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) ->
     quotas = apportion(blocks, [], "target", "_blocks", "place", "blocks").select("key", "source_size", "place", "target", "blocks")
     placed = sized.withColumn("shard", hash32("s") % shards)
     pieces = placed.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(quotas, "key")
+    pieces = apportion(pieces, ["place"], "words", "blocks", "shard", "quota").withColumn("quota", F.least(F.col("quota") * block, TURNS * F.col("words")))
     pieces = materialise(
-        apportion(pieces, ["place"], "words", "blocks", "shard", "quota")
-        .withColumn("quota", F.least(F.col("quota") * block, TURNS * F.col("words")))
+        deal_again(pieces, block)
         .withColumn("turns", F.when(F.col("words") > 0, F.expr("quota div words")).otherwise(0))
         .withColumn("rest", F.when(F.col("words") > 0, F.expr("quota % words")).otherwise(0))
         .withColumn("places", F.greatest(F.lit(1), F.ceil(F.col("words") / block).cast("long")))
