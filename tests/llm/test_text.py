@@ -293,6 +293,26 @@ def test_pairs_of_terms_are_learned():
     assert score[2] > 0.7 > 0.5 > max(score[0], score[1], score[3], score[4])
 
 
+def test_pairs_of_terms_that_tell_nothing_alone_are_learned():
+    """Both words are in a tenth of the toxic and of the clean texts; only together they are toxic."""
+    draw = random.Random(6)
+    filler = [f"{a}{b}o" for a in "abcdefgh" for b in "klmnp"]
+    texts, toxic = [], []
+    for k in range(3000):
+        bad, part = k % 2, k // 2 % 10
+        words = ["badword", "people"] if bad and part == 0 else ["badword"] if not bad and part == 0 else ["people"] if not bad and part == 1 else []
+        texts.append(" ".join([*draw.sample(filler, 6), *words, *["otherbad"] * (bad and part > 0)]))
+        toxic.append(float(bad))
+    held = [d for first, owner, terms in toxicity.terms_of(texts) for d in (terms[owner == k] for k in range(owner[-1] + 1))]
+    score = toxicity.Machine(held, np.array(toxic)).scores(["badword ako", "people ako", "badword people ako", "ako"])
+    assert score[2] > 0.7 > 0.5 > max(score[0], score[1], score[3])
+
+
+def test_texts_without_a_known_term_get_the_bias():
+    machine = toxicity.Machine([np.array([1], np.uint64)] * 30 + [np.array([2], np.uint64)] * 30, np.repeat([1.0, 0.0], 30))
+    assert len(machine.terms) == 2 and len(set(machine.scores(["some words", "other words"]))) == 1
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(i, f"{'badword' if i % 2 else 'nice'} text {i}", "en", "s") for i in range(200)] + [(500, None, None, None), (500, "", "en", "s"), (None, "badword " * 50_000, "en", "s")]
     frame = docs(spark, [(*r, 0.5) for r in rows], ", score double")

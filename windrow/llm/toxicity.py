@@ -20,8 +20,10 @@ from .hashing import Spans, groups, joined, letters, mixed, runs
 
 #: Lengths of words' beginnings that are terms too.
 BEGINNINGS = (4, 5)
-#: Labelled rows to train on, of each label at most; terms at most, documents a term must be in, and its least chi-squared.
-SAMPLE, TERMS, LEAST_DOCS, LEAST_CHANCE = 3000, 20_000, 4, 15.0
+#: Labelled rows to train on, of each label at most; least chi-squared of a term and of a pair (there are far more pairs).
+SAMPLE, LEAST_CHANCE, PAIR_CHANCE = 3000, 15.0, 40.0
+#: Texts, and terms, whose pairs are counted at once.
+PAIRED = 256
 #: Size of the vectors; rounds, step and penalties (weights, vectors) of the training.
 FACTORS, EPOCHS, STEP, PENALTY, VECTOR_PENALTY = 4, 12, 0.1, 2e-4, 2e-3
 THRESHOLD = 0.7
@@ -50,17 +52,55 @@ def terms_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def telling_terms(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The terms whose occurrence depends on the label beyond chance (chi-squared), TERMS of them at most, sorted."""
+    """The terms whose occurrence depends on the label beyond chance (chi-squared), alone or in a pair, sorted."""
     if not documents:
         return np.zeros(0, np.uint64)
     terms, of = np.unique(np.concatenate(documents), return_inverse=True)
-    label = np.repeat(toxic, [len(d) for d in documents])
+    lengths = [len(d) for d in documents]
+    label = np.repeat(toxic, lengths)
     both = np.bincount(of, label, len(terms))
     one, n, positive = np.bincount(of, minlength=len(terms)), len(toxic), toxic.sum()
     off = np.maximum(np.abs(n * both - one * positive) - n / 2, 0)
     chance = n * off**2 / np.maximum(one * (n - one) * positive * (n - positive), 1)
-    telling = np.flatnonzero((one >= LEAST_DOCS) & (chance >= LEAST_CHANCE))
-    return terms[np.sort(telling[np.argsort(-chance[telling], kind="stable")[:TERMS]])]
+    telling = chance >= LEAST_CHANCE
+    telling[telling_pairs(of, np.repeat(np.arange(n), lengths), toxic, one, both)] = True
+    return terms[telling]
+
+
+def telling_pairs(of: np.ndarray, owner: np.ndarray, toxic: np.ndarray, one: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Places of the terms that are in a pair which depends on the label beyond what either of its terms says.
+
+    A pair is held against the rates of toxic texts among all texts and among those with each of its terms; the least
+    of the three chi-squared counts. A pair in k texts has at most k (1 - rate) / rate, or k rate / (1 - rate) on the
+    clean side, so terms that are in too few texts of a label for that can't be in such a pair and aren't paired.
+    """
+    n, rate = len(toxic), toxic.mean()
+    if not 0 < rate < 1:
+        return np.zeros(0, np.int64)
+    able = np.flatnonzero((both * (1 - rate) / rate >= PAIR_CHANCE) | ((one - both) * rate / (1 - rate) >= PAIR_CHANCE))
+    place = np.full(len(one), -1)
+    place[able] = np.arange(len(able))
+    kept = place[of] >= 0
+    rows, columns = owner[kept], place[of[kept]]
+    share, told = (both / one)[able], np.zeros(len(able), bool)
+    for begin in range(0, len(able), PAIRED):
+        width = min(PAIRED, len(able) - begin)
+        count, bad = np.zeros((2, width, len(able)), np.float32)
+        for first in range(0, n, PAIRED):  # dense counts of some texts and some terms at once
+            some = slice(*np.searchsorted(rows, (first, first + PAIRED)))
+            x = np.zeros((min(PAIRED, n - first), len(able)), np.float32)
+            x[rows[some] - first, columns[some]] = 1
+            y = x[:, begin : begin + width].T
+            count += y @ x
+            bad += (y * toxic[first : first + PAIRED].astype(np.float32)) @ x
+        least = np.full(count.shape, np.inf, np.float32)
+        for r in (rate, share[begin : begin + width, None], share[None, :]):
+            off = np.maximum(np.abs(bad - count * r) - 0.5, 0)
+            np.minimum(least, off * off / np.maximum(count * r * (1 - r), 1e-6), out=least)
+        least[np.arange(width), np.arange(begin, begin + width)] = 0
+        a, b = np.nonzero(least >= PAIR_CHANCE)
+        told[begin + a] = told[b] = True
+    return able[told]
 
 
 class Machine:
@@ -106,7 +146,9 @@ class Machine:
             at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
             known = self.terms[at] == terms
             owner, at = owner[known], at[known]
-            n = int(owner[-1]) + 1 if len(owner) else 0
+            if not len(owner):
+                continue
+            n = int(owner[-1]) + 1
             raw = np.bincount(owner, self.weights[at], n)
             for f in range(FACTORS):
                 v = self.vectors[at, f]
