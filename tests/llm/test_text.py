@@ -259,6 +259,18 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs(spark, [(1, "abc", None, "s")])).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    """More labels than 60, each with words of its own."""
+    draw, rows = random.Random(12), []
+    for k in range(66):
+        words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)]
+        rows += [(100 * k + i, " ".join(draw.choices(words, k=12)), f"x{k:02}", "s") for i in range(12)]
+    truth = {r[0]: r[2] for r in rows}
+    found = language_id.identify(docs(spark, rows)).collect()
+    held = [(truth[r["doc_id"]], r["lang_pred"]) for r in found if r["held_out"]]
+    assert {r["lang_pred"] for r in found} == set(truth.values()) and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
 def test_held_out(spark):
     import zlib
 

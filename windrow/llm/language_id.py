@@ -27,8 +27,8 @@ FAMILIES = {
     "indo-aryan": ("bn", "gu", "hi", "mr", "ne", "pa", "ur"),
     "semitic": ("ar", "he", "mt"),
 }
-#: Hashed features; rows to train on at most, over all languages; languages at most; the training's rounds and penalty.
-FEATURES, SAMPLE, LANGUAGES, ROUNDS, PENALTY = 4096, 3000, 60, 200, 1e-4
+#: Hashed features; rows to train on, shared by all languages, but so many of each at least; the training's rounds and penalty.
+FEATURES, SAMPLE, EACH, ROUNDS, PENALTY = 4096, 3000, 30, 200, 1e-4
 UNDETERMINED = "und"
 
 
@@ -124,17 +124,17 @@ class Hierarchy:
         return language, sure
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Hierarchy | None:
+def train(docs: DataFrame, sample: int = SAMPLE, least: int = EACH) -> Hierarchy | None:
     """Train on the rows of ``docs`` that aren't held out and have a language and a text with letters.
 
-    At most ``sample`` rows reach the driver, the same number at most for each of the ``languages`` most frequent
-    labels, chosen by a hash of their ids. None if there is no such row.
+    Every label is learned. At most ``sample`` rows reach the driver, the same number at most for each label, or ``least``
+    of each if there are so many labels that fewer would be left; they are chosen by a hash of their ids. None if there is no such row.
     """
     open_rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    counts = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = open_rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    each = sample // len(counts)
+    each = max(least, sample // len(counts))
     share = F.map_from_arrays(F.array(*(F.lit(r["lang"]) for r in counts)), F.array(*(F.lit(min(1.0, each / r["count"])) for r in counts)))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
     chosen = open_rows.withColumn("drawn", drawn).filter(F.col("drawn") < F.try_element_at(share, F.col("lang")))
