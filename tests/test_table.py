@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from windrow.errors import CommitConflict, CompanionError, MatchRequiresCompanion, PartitionColumnError, TableError, TimestampParseError, WhereClauseError
+from windrow.errors import ColumnTypeMismatch, CommitConflict, CompanionError, MatchRequiresCompanion, PartitionColumnError, TableError, TimestampParseError, WhereClauseError
 from windrow.operators.companions import Companion, register_companion
 from windrow.plans.predicates import field
 from windrow.sources.manifest import Files, commit, load
@@ -32,6 +32,10 @@ def counts(table):
     return {r["p"]: r["row_count"] for r in table.stats().collect()}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def times(df):
     return [r["col1"].strftime("%H:%M") for r in df.collect()]
 
@@ -108,8 +112,10 @@ def test_pruning_reads_only_the_windows_it_needs(spark):
     table = make(spark, rows=at("12:15", "13:15", "14:15"))
     files = table.scan(C1 < "2024-01-01 13:00", window=True).select(F.input_file_name().alias("f"), "_p").distinct().collect()
     assert [r["_p"] for r in files] == [NOON]
-    plan = table.scan(C1 < "2024-01-01 13:00")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(_p" in plan and "PushedFilters: [IsNotNull(col1)" in plan
+    found = table.scan(C1 < "2024-01-01 13:00")
+    assert "PushedFilters: [IsNotNull(col1)" in plan(found)
+    # The list of files itself holds that window's alone.
+    assert {f"_p={NOON}" in f for f in found.inputFiles()} == {True} and len(table.scan().inputFiles()) >= 3
     table.files.delete(f"data/_v={table.manifest.windows[NOON + 3600].segments[0]}/_p={NOON + 3600}")
     assert table.scan(C1 < "2024-01-01 13:00").count() == 1
 
@@ -179,8 +185,7 @@ def test_orders(spark):
     assert times(table.latest(3)) == ["14:10", "14:05", "13:30"] and len(times(table.latest(99))) == 6
     assert times(table.scan((C1 >= "2024-02-01 12:30") & (C1 < "2024-02-01 14:00"), "asc")) == ["12:45", "13:05", "13:30"]
     assert [r["col2"] for r in table.scan().orderBy(F.desc("col2")).collect()] == list("jiedba")
-    plan = table.latest(2)._jdf.queryExecution().executedPlan().toString()
-    assert f"(_p#" in plan and f">= {table.partitions()[-1]})" in plan and "TakeOrderedAndProject" in plan
+    assert {f"_p={table.partitions()[-1]}/" in f for f in table.latest(2).inputFiles()} == {True} and "TakeOrderedAndProject" in plan(table.latest(2))
 
 
 def test_estimate(spark):
@@ -217,6 +222,124 @@ def test_reload_and_conflict(spark):
         commit(Files(spark, table.path), manifest)
 
 
+def second_writer(monkeypatch, table, rows):
+    """A second writer appends rows while the next change of the table is being written."""
+    other, write, df = PartitionedTable.load(table.spark, table.path), table._write, table.spark.createDataFrame([(r, "late") for r in rows], "col1 string, col2 string")
+
+    def interrupted(*args):
+        monkeypatch.setattr(table, "_write", write)
+        out = write(*args)
+        other.append(df)
+        return out
+
+    monkeypatch.setattr(table, "_write", interrupted)
+
+
+CHANGES = {"update": lambda t: t.update(C2 == "x", {"col2": "new"}), "delete": lambda t: t.delete((C2 == "x") & (C1 < "2024-01-01 12:20")), "compact": lambda t: t.compact()}
+
+
+@pytest.mark.parametrize("change", sorted(CHANGES))
+def test_rows_of_a_second_writer_are_kept(spark, monkeypatch, change):
+    def table():
+        out = make(spark, rows=at("12:15", "12:30"))
+        out.append(spark.createDataFrame([("2024-01-01 12:45", "x")], "col1 string, col2 string"))
+        return out
+
+    elsewhere = table()
+    second_writer(monkeypatch, elsewhere, at("14:15"))
+    CHANGES[change](elsewhere)  # another window: both changes stand
+    assert sorted(times(elsewhere.scan())) == [t for t in ("12:15", "12:30", "12:45", "14:15") if change != "delete" or t != "12:15"]
+    assert counts(elsewhere) == {NOON: 3 - (change == "delete"), NOON + 7200: 1}
+    here = table()
+    second_writer(monkeypatch, here, at("12:50"))
+    folders = here.files.names("data")
+    with pytest.raises(CommitConflict):
+        CHANGES[change](here)
+    assert sorted(times(here.scan())) == ["12:15", "12:30", "12:45", "12:50"] and {r["col2"] for r in here.scan().collect()} == {"x", "late"}
+    assert len(here.files.names("data")) == len(folders) + 1  # the other writer's; the failed change left nothing
+    CHANGES[change](here)
+    assert sum(counts(here).values()) == here.scan().count()
+
+
+def test_appends_and_transactions_beside_a_second_writer(spark, monkeypatch):
+    table = make(spark, rows=at("12:15"))
+    second_writer(monkeypatch, table, at("12:20"))
+    table.append(spark.createDataFrame([("2024-01-01 12:45", "x")], "col1 string, col2 string"))
+    assert sorted(times(table.scan())) == ["12:15", "12:20", "12:45"]
+    folders = table.files.names("data")
+    with pytest.raises(CommitConflict), table.transaction():
+        table.delete(C2 == "late")
+        table.append(spark.createDataFrame([("2024-01-01 12:46", "x")], "col1 string, col2 string"))
+        PartitionedTable.load(spark, table.path).set_expiry(NOON, 5)
+    assert sorted(times(table.scan())) == ["12:15", "12:20", "12:45"] and sorted(table.files.names("data")) == sorted(folders)
+
+
+def test_old_frames_still_read_until_vacuum(spark):
+    table = make(spark, rows=at("12:15", "13:15"))
+    before = table.scan()
+    table.update(C1 < "2024-01-01 13:00", {"col2": "new"})
+    table.drop_partition(NOON + 3600)
+    assert sorted(r["col2"] for r in before.collect()) == ["x", "x"] and [r["col2"] for r in table.scan().collect()] == ["new"]
+    assert table.vacuum() == 0 and table.vacuum(retain=0) == 2 and table.vacuum(retain=0) == 0
+    assert [r["col2"] for r in table.scan().collect()] == ["new"] and len(table.files.names("data")) == 1
+    assert PartitionedTable.load(spark, table.path).manifest.struck == {}
+
+
+def test_ordered_scans_need_no_shuffle(spark):
+    table = make(spark, rows=at("14:15", "12:45", "13:15", "12:15", "13:05"))
+    table.append(spark.createDataFrame([("2024-01-01 12:30", "y")], "col1 string, col2 string"))
+    ordered = ["12:15", "12:30", "12:45", "13:05", "13:15", "14:15"]
+    assert times(table.scan(order="asc")) == ordered and times(table.scan(order="desc")) == ordered[::-1]
+    assert times(table.scan(C1 < "2024-01-01 13:10", order="desc")) == ["13:05", "12:45", "12:30", "12:15"]
+    assert "Exchange" not in plan(table.scan(order="desc")) and "_p" in table.scan(order="asc", window=True).columns
+    assert times(table.scan(order="desc").limit(2)) == ["14:15", "13:15"]
+    assert make(spark).scan(order="asc").count() == 0
+
+
+def test_values_that_do_not_suit_their_column(spark):
+    table = PartitionedTable.create(spark, scratch(spark, "typed"), "1 hour, ts timestamp partition_column, n int, x float, t text")
+    table.insert([{"ts": NOON, "n": 7, "x": 1, "t": "a"}, {"ts": NOON, "n": None, "x": 2.5}])
+    for bad in ({"n": "7"}, {"n": 1 << 63}, {"n": True}, {"x": "a"}, {"t": 5}):
+        with pytest.raises(ColumnTypeMismatch):
+            table.insert([{"ts": NOON} | bad])
+    assert table.scan().count() == 2
+
+
+def test_bloom_filters_and_sorting_let_files_be_skipped(spark):
+    import pyarrow.parquet as pq
+
+    df = spark.range(4000).selectExpr("timestamp_ntz'2024-01-01 12:00' as col1", "cast(id * 7919 % 4001 as string) as col2")
+    table = make(spark)
+    table.alter_layout(sort_within=("col2",), bloom=("col2",))
+    table.append(df)
+    file = pq.ParquetFile(table.scan().inputFiles()[0].removeprefix("file:").replace("//", "/"))
+    column = file.metadata.row_group(0).column(1)
+    assert column.path_in_schema == "col2" and file.read(["col2"])["col2"].to_pylist() == sorted(file.read(["col2"])["col2"].to_pylist())
+    plain = make(spark)
+    plain.append(df)
+    size = lambda t: sum(len(open(f.removeprefix("file:"), "rb").read()) for f in t.scan().inputFiles())
+    assert size(table) > size(plain)  # the filter is in the file
+    assert table.scan(C2 == "17").count() == 1 and table.scan(C2 == "nothing").count() == 0
+
+
+def test_a_companion_drives_its_own_scans(spark):
+    class Longest(Companion):
+        def drives_scan(self, column):
+            return column in self.synced
+
+        def scan(self, rows, column, wanted, k, condition, order=(), **options):
+            rows = rows if condition is None else rows.filter(condition)
+            return rows.orderBy(F.desc(F.length(column)), *order).limit(k)
+
+    register_companion("longest", Longest)
+    table = PartitionedTable.create(spark, scratch(spark, "driven"), HOURLY + ", companion x USING longest(col2)")
+    table.append(spark.createDataFrame([(NOON_TEXT, "a" * n) for n in (1, 5, 3)], "col1 string, col2 string"))
+    assert [len(r["col2"]) for r in table.knn("col2", None, 2).collect()] == [5, 3]
+
+
+NOON_TEXT = "2024-01-01 12:00"
+
+
 def test_a_reader_far_behind_catches_up(spark):
     table = make(spark, rows=at("12:15"))
     other = PartitionedTable.load(spark, table.path)
@@ -229,6 +352,10 @@ def test_batches_are_added_once(spark):
     table = make(spark)
     rows = spark.createDataFrame([("2024-01-01 12:20", "y")], "col1 string, col2 string")
     assert table.append(rows, batch="a") == 1 and table.append(rows, batch="a") == 0 and table.append(rows, batch="b") == 1
+    numbered = [table.append(rows, batch=("s", n)) for n in (0, 1, 1, 0)]
+    assert numbered == [1, 1, 0, 0] and PartitionedTable.load(spark, table.path).manifest.batches["s"] == 1
+    table.delete(C2 == "y")
+    table.append(rows), table.append(rows)
     assert counts(table) == {NOON: 2}
     table.compact()
     assert len(table.manifest.windows[NOON].segments) == 1 and counts(table) == {NOON: 2} and table.scan().count() == 2

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CompanionError
+from ..errors import CompanionError, WhereClauseError
+from .knn import nearest
 
 
 class Companion:
@@ -36,10 +38,17 @@ class Companion:
         """Columns that only the companion's scans fill."""
         return []
 
+    def on_windows_dropped(self, starts: list[int]) -> None:
+        """Windows were dropped with their rows; what the companion wrote for them is deleted with the segments."""
+
     def drives_scan(self, column: str) -> bool:
         """Whether a search on a column is this companion's."""
         return False
 
+    def scan(self, rows: DataFrame, column: str, wanted, k: int | None, condition: Column | None, order: tuple[str, ...] = (), **options) -> DataFrame:
+        """What a search for ``wanted`` finds in rows, with the hidden columns; ``condition`` is the query's filter."""
+        raise CompanionError(f"companion {self.name} has no search")
+
 
 class VectorCompanion(Companion):
     """Nearest-neighbour search on a column of vectors. The vectors stay in the table's rows, so there is nothing to keep in step."""
@@ -50,6 +59,19 @@ class VectorCompanion(Companion):
     def drives_scan(self, column: str) -> bool:
         return column in self.synced
 
+    def scan(self, rows, column, wanted, k, condition, order=(), mode="post", metric="l2", ties=()) -> DataFrame:
+        """In mode ``post`` the k nearest rows are found and then filtered, in mode ``pre`` the rows are filtered first."""
+        if k is None or isinstance(k, bool) or not isinstance(k, int) or k < 1:
+            raise CompanionError("a search needs k, a number from 1 on")
+        if mode not in ("post", "pre"):
+            raise WhereClauseError("mode is post or pre")
+        if condition is not None and mode == "pre":
+            rows = rows.filter(condition)
+        found = nearest(rows, column, wanted, k, metric, (*order, *ties))
+        if condition is not None and mode == "post":
+            found = found.filter(condition)
+        return found.withColumn("k", F.lit(None).cast("long"))
+
 
 class MirrorCompanion(Companion):
     """A copy of some columns, window by window."""

@@ -2,30 +2,54 @@
 
 Layout: ``manifest/v<n>.json`` and ``data/_v=<version>/_p=<window>/*.parquet``, with companions' own files beside.
 Appends add a segment (a ``_v`` folder); updates and deletes write the windows they touch anew (copy on write), and a
-commit is one new manifest. Folders that no longer count are deleted after the commit.
+commit is one new manifest. Every change reads and builds on one manifest; if another writer commits meanwhile, the
+change is put on top of that one where the windows it rewrites are untouched, and else ends in CommitConflict. Folders
+that no longer count stay for RETAIN seconds, so that DataFrames made before a change can still be read.
 """
 
 from __future__ import annotations
 
 import contextlib
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import PartitionColumnError, TableError, WhereClauseError
+from ..errors import ColumnTypeMismatch, CommitConflict, MatchRequiresCompanion, PartitionColumnError, TableError, WhereClauseError
 from ..functions.timeparse import partition_column, to_datetime, to_epoch, to_timestamp
 from ..operators.companions import Companion, make_companion
-from ..operators.knn import nearest_rows
 from ..plans.bounds import Bounds, Span
 from ..plans.predicates import Predicate, wrap
 from .manifest import Files, Manifest, commit, load
 from .spec import TableSpec, parse_spec
 
 WINDOW, SEGMENT = "_p", "_v"
+#: Seconds that folders stay after they are struck from the manifest; times that a change is put on a newer manifest.
+RETAIN, ATTEMPTS = 3600, 20
+#: Windows, and rows of a window, up to which an ordered scan sorts window by window; larger ones are sorted by a shuffle.
+ORDERED_WINDOWS, ORDERED_ROWS = 512, 4_000_000
+
+
+def checked(value, field: T.StructField):
+    """A value as its column holds it; ColumnTypeMismatch for one that a column of numbers, truth values or text can't hold."""
+    if value is None:
+        return None
+    kind, good = field.dataType, True
+    if isinstance(kind, T.BooleanType):
+        good = isinstance(value, bool)
+    elif isinstance(kind, T.IntegralType):
+        bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}.get(type(kind), 64)
+        good = isinstance(value, int) and not isinstance(value, bool) and -(1 << bits - 1) <= value < 1 << bits - 1
+    elif isinstance(kind, T.FractionalType):
+        good = isinstance(value, int | float) and not isinstance(value, bool)
+    elif isinstance(kind, T.StringType):
+        good = isinstance(value, str)
+    if not good:
+        raise ColumnTypeMismatch(f"column {field.name} is {kind.simpleString()} and can't hold {value!r}")
+    return float(value) if isinstance(kind, T.DoubleType | T.FloatType) else value
 
 
 class PartitionedTable:
@@ -34,8 +58,10 @@ class PartitionedTable:
     def __init__(self, spark: SparkSession, path: str, manifest: Manifest):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
         self._manifest, self._staged = manifest, None
+        self._begun, self._made = manifest, []
         self._pending: list[tuple] = []
-        self._listed: dict[str, tuple[Manifest, DataFrame]] = {}
+        self._listed: dict[tuple[str, Bounds], DataFrame] = {}
+        self._listed_for: Manifest | None = None
         self.companions: dict[str, Companion] = {d.name: make_companion(d, self.spec) for d in self.spec.companions}
 
     # Lifecycle
@@ -81,35 +107,65 @@ class PartitionedTable:
         """Change ``sort_within``, ``bloom`` or ``batch_size``; files already written stay as they are."""
         if unknown := set(options) - {"sort_within", "bloom", "batch_size"}:
             raise TableError(f"not an option of the layout: {', '.join(sorted(unknown))}")
-        self._commit(replace(self.manifest, spec=replace(self.spec, **options)))
+        self._change(self.manifest, lambda m: replace(m, spec=replace(m.spec, **options)))
 
     # Writing
 
-    def _commit(self, manifest: Manifest) -> None:
+    def _change(self, base: Manifest, change: Callable[[Manifest], Manifest], rewritten: Iterable[int] = (), segment: int | None = None, sweep: bool = True) -> None:
+        """Commit ``change``, which was made from ``base`` and rewrites some windows; ``segment`` holds its new rows.
+
+        Where another writer has committed since, the change is made to that manifest, if the rewritten windows are as
+        they were; otherwise the segment is deleted and CommitConflict raised.
+        """
+        made = [] if segment is None else [segment]
         if self._staged is not None:
-            self._staged = manifest
+            self._staged = change(self._staged)
+            self._made += made
             return
-        before = self._manifest
-        manifest = replace(manifest, version=before.version + 1)
-        commit(self.files, manifest)
-        self._manifest = manifest
-        self._clean(manifest)
-
-    def _clean(self, manifest: Manifest) -> None:
-        """Delete the windows' folders that no longer count, and whole segments without any."""
-        live, written = manifest.live(), dict(manifest.written)
-        for segment, starts in manifest.written.items():
-            held = live.get(segment, [])
-            gone = set(starts) - set(held)
-            for top in ("data", *(f"companions/{name}" for name in self.companions)):
-                if not held:
-                    self.files.delete(f"{top}/{SEGMENT}={segment}")
-                else:
-                    for p in gone:
-                        self.files.delete(f"{top}/{SEGMENT}={segment}/{WINDOW}={p}")
-            if gone:
-                written[segment] = tuple(held)
-        self._manifest = replace(manifest, written={s: p for s, p in written.items() if p})
+        try:
+            for _ in range(ATTEMPTS):
+                newest = self.manifest
+                if changed := [p for p in rewritten if newest.windows.get(p) != base.windows.get(p)]:
+                    raise CommitConflict(f"another writer has changed windows {changed[:5]} of {self.path}")
+                manifest = replace(change(newest).marked(time.time()), version=newest.version + 1)
+                with contextlib.suppress(CommitConflict):
+                    commit(self.files, manifest)
+                    self._manifest = manifest
+                    break
+                time.sleep(0.05)
+            else:
+                raise CommitConflict(f"other writers kept committing to {self.path}")
+        except BaseException:
+            self._forget(made)
+            raise
+        if sweep and any(at < time.time() - RETAIN for at in manifest.struck.values()):
+            with contextlib.suppress(CommitConflict):
+                self.vacuum()
+
+    def _tops(self) -> list[str]:
+        return ["data", *(f"companions/{name}" for name in self.companions)]
+
+    def _forget(self, segments: Iterable[int]) -> None:
+        """Delete segments that were never committed."""
+        for segment in segments:
+            for top in self._tops():
+                self.files.delete(f"{top}/{SEGMENT}={segment}")
+
+    def vacuum(self, retain: float = RETAIN) -> int:
+        """Delete the windows' folders that were struck more than ``retain`` seconds ago; how many. Changes call it, too."""
+        manifest = self._manifest = load(self.files, self._manifest)
+        old = {key for key, at in manifest.struck.items() if at <= time.time() - retain}
+        if not old:
+            return 0
+        left = manifest.swept(old).written
+        for segment in {s for s, _ in old}:
+            names = [f"/{WINDOW}={p}" for s, p in old if s == segment] if segment in left else [""]
+            for top in self._tops():
+                for name in names:
+                    self.files.delete(f"{top}/{SEGMENT}={segment}{name}")
+        # Only now are they forgotten: a vacuum that fails on the way is taken up by the next one.
+        self._change(manifest, lambda m: m.swept(old), sweep=False)
+        return len(old)
 
     def _routed(self, df: DataFrame) -> DataFrame:
         """Rows in the table's schema with their window; a row without a point in time fails the job."""
@@ -142,39 +198,53 @@ class PartitionedTable:
         folder = f"{self.path}/data/{SEGMENT}={segment}"
         try:
             writer.parquet(folder)
-        except Exception:
-            self.files.delete(f"data/{SEGMENT}={segment}")
+            written = self._read([folder], folder)
+            # No column is read for this: the windows are folders, and the files' footers have their numbers of rows.
+            counts = {r[WINDOW]: r["n"] for r in written.groupBy(WINDOW).agg(F.count(F.lit(1)).alias("n")).collect()}
+            for companion in self.companions.values():
+                companion.on_rows_written(written, f"{self.path}/companions/{companion.name}/{SEGMENT}={segment}")
+        except BaseException:
+            self._forget([segment])
             raise
-        written = self._read([folder], folder)
-        counts = {r[WINDOW]: r["n"] for r in written.groupBy(WINDOW).agg(F.count(F.lit(1)).alias("n")).collect()}
-        for companion in self.companions.values():
-            companion.on_rows_written(written, f"{self.path}/companions/{companion.name}/{SEGMENT}={segment}")
         return segment, counts
 
-    def append(self, df: DataFrame, batch: str | None = None) -> int:
-        """Add rows; durable on return. A ``batch`` that was added before is skipped. The number of rows added."""
+    def append(self, df: DataFrame, batch: tuple[str, int] | str | None = None) -> int:
+        """Add rows; durable on return. The number of rows added.
+
+        A ``batch`` is a stream's name and a number (or a name alone); a batch whose number is not beyond the highest
+        that was added under its name is skipped.
+        """
         self.flush()
         manifest = self.manifest
-        if batch is not None and batch in manifest.batches:
+        name, number = batch if isinstance(batch, tuple) else (batch, 0)
+        if name is not None and manifest.batches.get(name, -1) >= number:
             return 0
         segment, counts = self._write(self._routed(df))
-        manifest = manifest.extended(segment, counts) if counts else manifest
-        if batch is not None:
-            manifest = replace(manifest, batches=(*manifest.batches, batch)[-1000:])
-        self._commit(manifest)
+
+        def change(m: Manifest) -> Manifest:
+            if name is not None:
+                if m.batches.get(name, -1) >= number:
+                    raise CommitConflict(f"batch {batch} was added by another writer")
+                m = replace(m, batches=m.batches | {name: number})
+            return m.extended(segment, counts) if counts else m
+
+        self._change(manifest, change, segment=segment)
+        if not counts:
+            self._forget([segment])
         return sum(counts.values())
 
     def insert(self, rows: Iterable[dict]) -> None:
         """Buffer rows; every ``batch_size`` of them are written, and all before anything is read."""
-        names = [c.name for c in self.spec.columns]
+        names = {c.name for c in self.spec.columns}
         name = self.spec.partition_column
         for row in rows:
             if row.get(name) is None:
                 raise PartitionColumnError(f"rows need a value in {name}")
             at = to_datetime(row[name])
-            if unknown := set(row) - set(names):
+            if unknown := set(row) - names:
                 raise TableError(f"no such columns: {', '.join(sorted(unknown))}")
-            self._pending.append(tuple(row.get(n) if n != name else str(row[n]) if self.spec.text_compat else at.isoformat(" ") for n in names))
+            own = str(row[name]) if self.spec.text_compat else at.isoformat(" ")
+            self._pending.append(tuple(own if f.name == name else checked(row.get(f.name), f) for f in self.spec.schema()))
             if len(self._pending) >= self.spec.batch_size:
                 self.flush()
 
@@ -185,31 +255,70 @@ class PartitionedTable:
         rows, self._pending = self._pending, []
         name = self.spec.partition_column
         schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == name else f.dataType) for f in self.spec.schema()])
+        manifest = self.manifest
         segment, counts = self._write(self._routed(self.spark.createDataFrame(rows, schema)))
-        self._commit(self.manifest.extended(segment, counts))
+        self._change(manifest, lambda m: m.extended(segment, counts), segment=segment)
 
     def rollback(self) -> None:
         """Forget the buffered rows, and what a transaction has staged."""
         self._pending.clear()
         if self._staged is not None:
-            self._staged = self._manifest
+            self._staged = self._begun
+            self._forget(self._made)
+            self._made = []
 
     @contextlib.contextmanager
     def transaction(self) -> Iterator[PartitionedTable]:
         """All changes inside become one commit at the end, or none if the block raises."""
+        self.begin()
+        try:
+            yield self
+        except BaseException:
+            self.abandon()
+            raise
+        self.commit()
+
+    def begin(self) -> None:
+        """Stage all changes from now on."""
         if self._staged is not None:
             raise TableError("transactions don't nest")
         self.flush()
-        self._staged = self.manifest
+        self._begun = self._staged = self.manifest
+        self._made = []
+
+    def outrun(self) -> bool:
+        """Whether another writer has committed since a transaction began."""
+        return load(self.files, self._begun).version != self._begun.version
+
+    def abandon(self) -> None:
+        """Forget what is staged."""
+        self._pending.clear()
+        self._staged = None
+        self._forget(self._made)
+        self._made = []
+
+    def commit(self) -> None:
+        """Commit what is staged, if no other writer has changed the table since; CommitConflict, with all forgotten, if one has."""
         try:
-            yield self
             self.flush()
         except BaseException:
-            self._staged = None
-            self._pending.clear()
+            self.abandon()
+            raise
+        begun, staged, made = self._begun, self._staged, self._made
+        self._staged, self._made = None, []
+        if staged is begun:
+            return
+
+        def change(m: Manifest) -> Manifest:
+            if m.version != begun.version:
+                raise CommitConflict(f"another writer has changed {self.path}")
+            return staged
+
+        try:
+            self._change(begun, change)
+        except BaseException:
+            self._forget(made)
             raise
-        manifest, self._staged = self._staged, None
-        self._commit(manifest)
 
     # Reading
 
@@ -217,30 +326,34 @@ class PartitionedTable:
         full = T.StructType([*(schema or self.spec.schema()).fields, T.StructField(WINDOW, T.LongType())])
         return self.spark.read.schema(full).option("basePath", base).parquet(*paths)
 
-    def _segments(self, top: str, schema: T.StructType | None, bounds: Bounds) -> DataFrame:
-        """The live rows of the windows within bounds, which Spark prunes in the list of files.
+    def _segments(self, top: str, schema: T.StructType | None, bounds: Bounds, manifest: Manifest | None = None) -> DataFrame:
+        """The live rows of the windows within bounds.
 
-        That list is made once for each manifest. Segments of which every window counts are listed by their folder;
-        of the others the windows that count are named."""
-        manifest = self.manifest
-        known, out = self._listed.get(top, (None, None))
-        if known is not manifest:
-            whole, parts = [], []
-            for segment, starts in manifest.live().items():
-                folder = f"{self.path}/{top}/{SEGMENT}={segment}"
-                if set(manifest.written.get(segment, ())) == set(starts):
-                    whole.append(folder)
-                else:
-                    parts += [f"{folder}/{WINDOW}={p}" for p in starts]
-            schema = schema or self.spec.schema()
-            full = T.StructType([*schema.fields, T.StructField(SEGMENT, T.LongType()), T.StructField(WINDOW, T.LongType())])
-            if whole or parts:
-                out = self.spark.read.schema(full).option("basePath", f"{self.path}/{top}").parquet(*whole, *parts).drop(SEGMENT)
+        The manifest knows the windows, so only the folders of those within bounds are named and listed; without
+        bounds, segments of which every window counts are listed by their folder. Lists are kept for one manifest.
+        """
+        manifest = manifest or self.manifest
+        if self._listed_for is not manifest:
+            self._listed_for, self._listed = manifest, {}
+        if (known := self._listed.get((top, bounds))) is not None:
+            return known
+        paths = []
+        for segment, starts in manifest.live().items():
+            folder = f"{self.path}/{top}/{SEGMENT}={segment}"
+            wanted = starts if bounds.everything else [p for p in starts if bounds.holds(p)]
+            if len(wanted) == len(manifest.written.get(segment, ())):
+                paths.append(folder)
             else:
-                out = self.spark.createDataFrame([], full).drop(SEGMENT)
-            self._listed[top] = manifest, out
-        within = bounds.column(WINDOW)
-        return out if within is None else out.filter(within)
+                paths += [f"{folder}/{WINDOW}={p}" for p in wanted]
+        schema = schema or self.spec.schema()
+        full = T.StructType([*schema.fields, T.StructField(SEGMENT, T.LongType()), T.StructField(WINDOW, T.LongType())])
+        if paths:
+            out = self.spark.read.schema(full).option("basePath", f"{self.path}/{top}").parquet(*paths).drop(SEGMENT)
+        else:
+            out = self.spark.createDataFrame([], full).drop(SEGMENT)
+        if len(self._listed) < 64:
+            self._listed[top, bounds] = out
+        return out
 
     def _bounds(self, where: Predicate | None) -> Bounds:
         return Bounds() if where is None else where.bounds(self.spec.partition_column, self.spec.interval)
@@ -249,16 +362,30 @@ class PartitionedTable:
         return where.column(None if self.spec.text_compat else self.spec.partition_column)
 
     def scan(self, where: Predicate | Column | str | None = None, order: str | None = None, window: bool = False) -> DataFrame:
-        """The rows that satisfy ``where``, from the windows it can reach; ``order`` is asc or desc by the partition column."""
+        """The rows that satisfy ``where``, from the windows it can reach; ``order`` is asc or desc by the partition column.
+
+        Windows follow each other, so ordered rows come window by window, each sorted on its own, without a shuffle;
+        a limit then reads no more windows than it needs.
+        """
         self.flush()
+        if order not in (None, "asc", "desc"):
+            raise WhereClauseError("order is asc or desc")
         predicate = None if where is None else wrap(where)
-        out = self._segments("data", None, self._bounds(predicate))
-        if predicate is not None:
-            out = out.filter(self._condition(predicate))
-        if order is not None:
-            if order not in ("asc", "desc"):
-                raise WhereClauseError("order is asc or desc")
-            out = out.orderBy(F.asc(self.spec.partition_column) if order == "asc" else F.desc(self.spec.partition_column))
+        bounds, manifest = self._bounds(predicate), self.manifest
+        matching = lambda rows: rows if predicate is None else rows.filter(self._condition(predicate))
+        if order is None:
+            out = matching(self._segments("data", None, bounds, manifest))
+            return out if window else out.drop(WINDOW)
+        key = F.asc(self.spec.partition_column) if order == "asc" else F.desc(self.spec.partition_column)
+        held = [(p, w) for p, w in sorted(manifest.windows.items(), reverse=order == "desc") if w.rows and bounds.holds(p)]
+        if self.spec.text_compat or not held or len(held) > ORDERED_WINDOWS:
+            out = matching(self._segments("data", None, bounds, manifest)).orderBy(key)
+            return out if window else out.drop(WINDOW)
+        out = None
+        for p, w in held:
+            rows = matching(self._segments("data", None, Bounds.of(Span(p, p)), manifest))
+            rows = rows.coalesce(1).sortWithinPartitions(key) if w.rows <= ORDERED_ROWS else rows.orderBy(key)
+            out = rows if out is None else out.unionAll(rows)
         return out if window else out.drop(WINDOW)
 
     def latest(self, n: int, *ties: str) -> DataFrame:
@@ -269,7 +396,7 @@ class PartitionedTable:
             low, held = p, held + w.rows
             if held >= n:
                 break
-        bounds = Bounds.of(Span(low, None)) if low is not None else Bounds()
+        bounds = Bounds.of(Span(low, None)) if low is not None else Bounds.of()
         return self._segments("data", None, bounds).drop(WINDOW).orderBy(F.desc(self.spec.partition_column), *ties).limit(n)
 
     def partition(self, start: int) -> DataFrame:
@@ -349,9 +476,9 @@ class PartitionedTable:
 
     # Changing rows
 
-    def _touched(self, condition: Column, bounds: Bounds) -> dict[int, int]:
+    def _touched(self, condition: Column, bounds: Bounds, manifest: Manifest) -> dict[int, int]:
         """How many rows satisfy a condition in each window that has any."""
-        rows = self._segments("data", None, bounds).filter(condition)
+        rows = self._segments("data", None, bounds, manifest).filter(condition)
         return {r[WINDOW]: r["n"] for r in rows.groupBy(WINDOW).agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def update(self, where: Predicate | Column | str, values: dict[str, Column | object]) -> int:
@@ -363,13 +490,13 @@ class PartitionedTable:
         names = {c.name for c in self.spec.columns}
         if unknown := set(values) - names:
             raise TableError(f"no such columns: {', '.join(sorted(unknown))}")
-        condition, bounds = self._condition(predicate), self._bounds(predicate)
-        touched = self._touched(condition, bounds)
+        manifest, condition = self.manifest, self._condition(predicate)
+        touched = self._touched(condition, self._bounds(predicate), manifest)
         if not touched:
             return 0
         matched = F.coalesce(condition, F.lit(False))
         name = self.spec.partition_column
-        rows = self._segments("data", None, Bounds.of(*(Span(p, p) for p in touched))).drop(WINDOW)
+        rows = self._segments("data", None, Bounds.of(*(Span(p, p) for p in touched)), manifest).drop(WINDOW)
         new = {}
         for field in self.spec.schema():
             if field.name not in values:
@@ -382,7 +509,7 @@ class PartitionedTable:
             new[field.name] = F.when(matched, value.cast(field.dataType)).otherwise(F.col(field.name))
         changed = rows.select(*(new.get(f.name, F.col(f.name)).alias(f.name) for f in self.spec.schema()))
         segment, counts = self._write(self._routed(changed))
-        self._commit(self.manifest.emptied(touched).extended(segment, counts))
+        self._change(manifest, lambda m: m.emptied(touched).extended(segment, counts), touched, segment)
         return sum(touched.values())
 
     def delete(self, where: Predicate | Column | str) -> int:
@@ -391,28 +518,27 @@ class PartitionedTable:
         Windows that lose all rows are only struck from the manifest."""
         self.flush()
         predicate = wrap(where)
-        condition, bounds = self._condition(predicate), self._bounds(predicate)
-        touched = self._touched(condition, bounds)
+        manifest, condition = self.manifest, self._condition(predicate)
+        touched = self._touched(condition, self._bounds(predicate), manifest)
         if not touched:
             return 0
-        manifest = self.manifest
         some = [p for p, n in touched.items() if n < manifest.windows[p].rows]
-        emptied = manifest.emptied(touched)
+        segment, counts = None, {}
         if some:
-            rows = self._segments("data", None, Bounds.of(*(Span(p, p) for p in some)))
+            rows = self._segments("data", None, Bounds.of(*(Span(p, p) for p in some)), manifest)
             segment, counts = self._write(self._routed(rows.filter(~F.coalesce(condition, F.lit(False))).drop(WINDOW)))
-            emptied = emptied.extended(segment, counts)
-        self._commit(emptied)
+        self._change(manifest, lambda m: m.emptied(touched).extended(segment, counts) if counts else m.emptied(touched), touched, segment)
         return sum(touched.values())
 
     def compact(self) -> None:
         """Write windows that lie in several segments anew, as one."""
         self.flush()
-        several = [p for p, w in self.manifest.windows.items() if len(w.segments) > 1]
+        manifest = self.manifest
+        several = [p for p, w in manifest.windows.items() if len(w.segments) > 1]
         if several:
-            rows = self._segments("data", None, Bounds.of(*(Span(p, p) for p in several))).drop(WINDOW)
+            rows = self._segments("data", None, Bounds.of(*(Span(p, p) for p in several)), manifest).drop(WINDOW)
             segment, counts = self._write(self._routed(rows))
-            self._commit(self.manifest.emptied(several).extended(segment, counts))
+            self._change(manifest, lambda m: m.emptied(several).extended(segment, counts), several, segment)
 
     # Retention
 
@@ -424,16 +550,21 @@ class PartitionedTable:
     def cleanup(self, now: int | None = None) -> int:
         """Drop all expired windows with their companions' rows; how many they were."""
         self.flush()
-        gone = self.expired(now)
-        if gone:
-            self._commit(self.manifest.without(gone))
+        if gone := self.expired(now):
+            self._drop(gone)
         return len(gone)
 
+    def _drop(self, starts: list[int]) -> None:
+        manifest = self.manifest
+        self._change(manifest, lambda m: m.without(starts), starts)
+        for companion in self.companions.values():
+            companion.on_windows_dropped(starts)
+
     def drop_partition(self, start: int) -> None:
         self.flush()
         if start not in self.manifest.windows:
             raise TableError(f"no window {start}")
-        self._commit(self.manifest.without([start]))
+        self._drop([start])
 
     def set_expiry(self, start: int, expires_at: int | None) -> None:
         """Change when a window expires."""
@@ -441,7 +572,7 @@ class PartitionedTable:
         manifest = self.manifest
         if start not in manifest.windows:
             raise TableError(f"no window {start}")
-        self._commit(replace(manifest, windows=manifest.windows | {start: replace(manifest.windows[start], expires_at=expires_at)}))
+        self._change(manifest, lambda m: replace(m, windows=m.windows | {start: replace(m.windows[start], expires_at=expires_at)}), [start])
 
     # Vector search
 
@@ -452,5 +583,15 @@ class PartitionedTable:
         so fewer may remain; in mode ``pre`` the k nearest of the rows that satisfy ``where`` are found.
         """
         self.flush()
+        return self.searched(column, vector, k, None if where is None else wrap(where), mode=mode, metric=metric, ties=ties)
+
+    def searched(self, column: str, wanted, k: int | None, where: Predicate | None = None, bounds: Bounds | None = None, **options) -> DataFrame:
+        """What the companion that drives scans of a column finds; MatchRequiresCompanion if there is none."""
         driver = next((c for c in self.companions.values() if c.drives_scan(column)), None)
-        return nearest_rows(self, driver, column, vector, k, None if where is None else wrap(where), mode, metric, ties)
+        if driver is None:
+            raise MatchRequiresCompanion(f"no vector companion searches {column!r}")
+        if bounds is None:
+            bounds = self._bounds(where)
+        rows = self._segments("data", None, bounds)
+        condition = None if where is None else self._condition(where)
+        return driver.scan(rows, column, wanted, k, condition, order=(WINDOW, self.spec.partition_column), **options).drop(WINDOW)
