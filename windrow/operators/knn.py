@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 from ..errors import WhereClauseError
 
 METRICS = ("l2", "l1", "cosine")
+#: Components up to which a distance is written out, which Spark compiles; longer vectors are folded over.
+WRITTEN_OUT = 128
 
 
 def as_vector(value: Iterable[float] | str) -> list[float]:
@@ -46,6 +49,18 @@ def distance(vector: Column, query: list[float], metric: str = "l2") -> Column:
     return 1 - F.try_divide(total(paired(lambda x, q: x * q), lambda x: x), F.sqrt(total(vector, lambda x: x * x)) * norm)
 
 
+def written_out(name: str, query: list[float], metric: str) -> Column:
+    """The same for a column by its name, as one sum that Spark compiles; the text is parsed at once, which the calls for as many Columns would not be."""
+    numbers = [f"{q!r}D" if math.isfinite(q) else f"double('{q}')" for q in query]
+    pairs = [(f"cast(get({name}, {i}) as double)", f"({q})") for i, q in enumerate(numbers)]
+    if metric == "l2":
+        return F.expr(f"sqrt({' + '.join(f'({x} - {q}) * ({x} - {q})' for x, q in pairs)})")
+    if metric == "l1":
+        return F.expr(" + ".join(f"abs({x} - {q})" for x, q in pairs))
+    norm = sum(q * q for q in query) ** 0.5
+    return F.expr(f"1 - try_divide({' + '.join(f'{x} * {q}' for x, q in pairs)}, sqrt({' + '.join(f'{x} * {x}' for x, _ in pairs)}) * double('{norm!r}'))")
+
+
 def nearest(rows: DataFrame, column: str, query: Iterable[float] | str, k: int, metric: str = "l2", ties: Iterable[str] = ()) -> DataFrame:
     """The k rows nearest to a query with their ``distance``; each task keeps k rows, and those are merged.
 
@@ -54,5 +69,9 @@ def nearest(rows: DataFrame, column: str, query: Iterable[float] | str, k: int,
     """
     query = as_vector(query)
     vector = F.from_json(column, "array<double>") if isinstance(rows.schema[column].dataType, T.StringType) else F.col(column)
-    fitting = rows.filter(F.size(vector) == len(query)).withColumn("distance", distance(vector, query, metric))
+    fitting = rows.filter(F.size(vector) == len(query))
+    if len(query) <= WRITTEN_OUT and metric in METRICS:
+        fitting = fitting.withColumn("_vector", vector).withColumn("distance", written_out("_vector", query, metric)).drop("_vector")
+    else:
+        fitting = fitting.withColumn("distance", distance(vector, query, metric))
     return fitting.orderBy(F.asc_nulls_last("distance"), *ties).limit(k).filter(F.col("distance").isNotNull())
