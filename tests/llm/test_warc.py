@@ -86,7 +86,9 @@ def good(payload=b"<p>", **options):
         archive(good().replace(b"Content-Length: 3", b"Content-Length: x")),
         archive(good().replace(b"WARC-Type: response", b"WARC-Type: other")),
         archive(good().replace(b"WARC-Type: response", b"WARC-Type response")),
-        archive(good().replace(b"urn:windrow", b"urn:windows")),
+        archive(good().replace(b"<urn:windrow:page:7>", b"urn:windrow:page:7")),
+        archive(good().replace(b"Content-Length: 3", b"Content-Length: 3\r\nContent-Length: 3")),
+        archive(good().replace(b"WARC-Date", b"Content-Length: 9\r\nWARC-Date")),
         archive(good().replace(b"sha1:", b"md5:")),
         archive(good(revisit=True, refers_to=8).replace(b"WARC-Refers-To", b"WARC-Refers-At")),
         archive(good())[:-12],
@@ -105,3 +107,49 @@ def test_records():
     assert (first["page_id"], first["payload"], second["payload_bytes"]) == (7, b"", 1_000_000)
     revisit = warc.parse_record(good(b"abc", revisit=True, refers_to=8))
     assert (revisit["refers_to"], revisit["payload_bytes"], revisit["payload"]) == (8, 3, None)
+
+
+def record(kind, block, *headers):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0b1c>", "WARC-Date: 2024-01-01T00:00:00Z", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_other_crawlers_archives_are_read():
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n<p>"
+    records = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"),
+        record("response", http, "Content-Type: application/http;msgtype=response", "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{digest('<p>')}"),
+        record("resource", b"\x89PNG", "Content-Type: image/png", "WARC-Payload-Digest: md5:abc"),
+        record("metadata", b"via: y\r\n"),
+        record("conversion", b"plain text", "Content-Type: text/plain"),
+    ]
+    found = list(warc.read_archive(archive(*records)))
+    assert [r["record_type"] for r in found] == ["warcinfo", "request", "response", "resource", "metadata", "conversion"]
+    assert {r["page_id"] for r in found} == {None} and (found[2]["payload"], found[2]["payload_digest"]) == (b"<p>", digest("<p>"))
+    assert found[3]["payload_digest"] is None and found[5]["payload"] == b"plain text"
+
+
+def test_a_compressed_dictionary():
+    samples = [good(b"lorem ipsum dolor sit amet %d " % i * 30) for i in range(600)]
+    trained = warc.train_dictionary(samples)
+    raw = zstandard.ZstdCompressor().compress(trained.as_bytes())
+    writer = zstandard.ZstdCompressor(dict_data=trained, write_content_size=False)
+    data = struct.pack("<II", warc.DICTIONARY, len(raw)) + raw + b"".join(writer.compress(s) for s in samples[:20])
+    assert len(list(warc.read_archive(data))) == 20
+
+
+def test_a_session_that_splits_files_leaves_archives_whole(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.repeat(F.concat(F.col("id"), F.lit(" lorem ipsum ")), 60).alias("html"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 50)
+    try:
+        _, back = round_trip(spark, pages.coalesce(1))
+        assert back.count() == 400
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_dangling_revisits(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "a"), (4, "u", "b")], "page_id long, url string, html string")
+    _, back = round_trip(spark, pages)
+    assert warc.dangling(back).count() == 0 and sorted(r["page_id"] for r in warc.dangling(back.filter("page_id <> 3")).collect()) == [1, 2]

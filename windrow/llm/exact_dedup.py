@@ -7,13 +7,16 @@ A group of copies may hold a third of all rows, so the groups are not simply dea
    that can hold more than ``support`` of the rows, 1 / support candidates at most;
 3. an exact count of the candidates alone, combined map-side, verifies them: the winners are those that do
    hold that share, again 1 / support rows at most, and are broadcast;
-4. rows with a winner's digest get their group from the broadcast table without a shuffle; the others, whose
-   groups are smaller than ``support`` of the rows, are dealt out by digest in an ordinary window.
+4. rows with a winner's digest get their group from the broadcast table without a shuffle; the remaining digests are
+   counted by an ordinary shuffle of one row per digest and task (combined map-side), and the groups of several rows
+   meet the rows by a broadcast if they are few, and else by a join that Spark splits where a digest has many rows.
+
+So no task ever holds the rows of a group, however large the group is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, materialise, normal_text
@@ -42,6 +45,13 @@ def _digest():
     return F.unhex(F.sha2(normal_text(), 256)).alias("digest")
 
 
+def repeated(digests: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of the digests in several rows that are not heavy."""
+    rest = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    counted = rest.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return materialise(counted.filter("group_size > 1"), "several")
+
+
 def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -52,12 +62,14 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """
     digests = materialise(docs.select("doc_id", _digest()), "digests")
     heavy = materialise(heavy_digests(digests, support), "heavy")
-    group = Window.partitionBy("digest")
     common = digests.join(F.broadcast(heavy), "digest")
+    several = repeated(digests, heavy)
     rest = (
         digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-        .withColumn("keep_id", F.min("doc_id").over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
+        .join(bounded_broadcast(several, several.count(), BROADCAST), "digest", "left")
+        # A row that is alone keeps itself; a group of several without any id has no keep_id, nor have its rows an id.
+        .withColumn("keep_id", F.coalesce("keep_id", "doc_id"))
+        .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     )
     columns = ("doc_id", "keep_id", "group_size", "digest")
     return common.select(*columns).unionAll(rest.select(*columns)).select(
@@ -73,18 +85,12 @@ def keep_first_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs``, all columns, that exact_groups marks as kept.
 
     Heavy groups are decided map-side. Of the others only groups of several rows matter: their table is broadcast
-    if it is small, and else meets the rows in a shuffle by digest.
+    if it is small, and else meets the rows in a shuffle by digest. Null texts are empty ones; in a group without any
+    id all rows stay; rows that repeat the kept id stay; a table without rows gives none. Columns of any name stay.
     """
     digests = materialise(docs.select("doc_id", _digest()), "digests")
     heavy = materialise(heavy_digests(digests, support).select("digest", "keep_id"), "heavy")
-    several = (
-        digests.join(F.broadcast(heavy), "digest", "left_anti")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("digest", "keep_id")
-    )
-    several = materialise(several, "several")
+    several = repeated(digests, heavy).select("digest", "keep_id")
     kept = docs.select(F.struct("*").alias("row"), _digest())
     for groups in (F.broadcast(heavy), bounded_broadcast(several, several.count(), BROADCAST)):
         found = groups.withColumn("found", F.lit(True))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -60,13 +61,22 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: by
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+#: The record types of the format, and headers that a record has once.
+KINDS = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+ONCE = ("content-length", "warc-type", "warc-record-id", "warc-date", "warc-payload-digest", "warc-refers-to")
+
+
 def _fields(lines: list[bytes]) -> dict[str, str]:
-    out = {}
+    """Headers by their names in lower case; of a header that may be repeated the first counts."""
+    out: dict[str, str] = {}
     for line in lines:
         key, colon, value = line.partition(b":")
         if not colon or not key or key != key.strip():
             raise WarcError(f"not a header: {line[:80]!r}")
-        out[key.decode("ascii", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        name = key.decode("ascii", "replace").lower()
+        if name in out and name in ONCE:
+            raise WarcError(f"a record with two headers {name}")
+        out.setdefault(name, value.strip().decode("utf-8", "replace"))
     return out
 
 
@@ -77,14 +87,31 @@ def _length(fields: dict[str, str], what: str) -> int:
 
 
 def _page(name: str) -> int | None:
-    if not name.startswith(f"<{RECORD_ID}") or not name.endswith(">"):
+    """The page that a record id of write_archives names; None for other ids."""
+    if len(name) < 3 or name[0] != "<" or name[-1] != ">":
         raise WarcError(f"not a record id: {name[:80]!r}")
-    number = name[len(RECORD_ID) + 1 : -1]
-    return int(number) if number else None
+    number = name[len(RECORD_ID) + 1 : -1] if name.startswith(f"<{RECORD_ID}") else ""
+    return int(number) if re.fullmatch(r"-?[0-9]+", number) else None
+
+
+def _digest(value: str, payload: bytes | None) -> str | None:
+    """A payload digest as bare base32 SHA-1; other algorithms, which the format allows, count as none."""
+    algorithm, _, digest = value.partition(":")
+    if algorithm.lower() != "sha1":
+        return None
+    if not re.fullmatch(r"[A-Z2-7]{32}", digest := digest.upper()):
+        raise WarcError(f"not a SHA-1 digest: {value[:80]!r}")
+    if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise WarcError("a payload that does not match its digest")
+    return digest
 
 
 def parse_record(data: bytes) -> dict:
-    """The fields of one record, checked: version, headers, both lengths, the record's end and the payload's digest."""
+    """The fields of one record, checked: version, headers, both lengths, the record's end and the payload's digest.
+
+    Records of all types are read. The payload is what follows the HTTP head, or the whole block where there is none;
+    a digest in another algorithm than SHA-1 is not checked and given as null.
+    """
     head, end, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not end or not lines[0].startswith(b"WARC/1."):
@@ -93,28 +120,37 @@ def parse_record(data: bytes) -> dict:
     length = _length(fields, "a record")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError(f"a record's block has {len(rest) - 4} bytes; its header says {length}")
-    kind = fields.get("warc-type")
-    if kind not in ("response", "revisit"):
+    kind = fields.get("warc-type", "").lower()
+    if kind not in KINDS:
         raise WarcError(f"unknown record type {kind!r}")
-    http, end, payload = rest[:length].partition(b"\r\n\r\n")
-    if not end or not http.startswith(b"HTTP/"):
+    page = _page(fields.get("warc-record-id", ""))
+    payload, size = rest[:length], length
+    if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http") and kind in ("response", "revisit"):
+        http, end, payload = payload.partition(b"\r\n\r\n")
+        if not end or not http.startswith(b"HTTP/"):
+            raise WarcError("a block that is not an HTTP response")
+        own = _fields(http.split(b"\r\n")[1:])
+        size = _length(own, "a response") if "content-length" in own or kind == "revisit" and page is not None else len(payload)
+        if kind == "response" and len(payload) != size and not {"transfer-encoding", "content-encoding"} & set(own):
+            raise WarcError("a payload that does not match its length")
+    elif kind == "response" and fields.get("warc-target-uri", "").startswith("http"):
         raise WarcError("a block that is not an HTTP response")
-    size = _length(_fields(http.split(b"\r\n")[1:]), "a response")
-    algorithm, _, digest = fields.get("warc-payload-digest", "").partition(":")
-    if algorithm != "sha1" or len(digest) != 32:
+    digest = _digest(fields.get("warc-payload-digest", ""), payload if kind == "response" else None)
+    if page is not None and digest is None:
         raise WarcError("no SHA-1 payload digest")
-    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise WarcError("a payload that does not match its length or digest")
-    if kind == "revisit" and (payload or "warc-refers-to" not in fields):
-        raise WarcError("a revisit with a payload or without the record it refers to")
+    refers_to = None
+    if kind == "revisit":
+        if payload or not {"warc-refers-to", "warc-refers-to-target-uri"} & set(fields):
+            raise WarcError("a revisit with a payload or without the record it refers to")
+        refers_to = _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
     return {
-        "page_id": _page(fields.get("warc-record-id", "")),
+        "page_id": page,
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": _page(fields["warc-refers-to"]) if kind == "revisit" else None,
+        "refers_to": refers_to,
         "url": fields.get("warc-target-uri"),
-        "payload": payload if kind == "response" else None,
+        "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -155,9 +191,18 @@ def read_archive(data) -> Iterator[dict]:
         if magic == DICTIONARY:
             if n:
                 raise WarcError("a dictionary that is not the first frame")
-            reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(frame)))
+            raw = bytes(frame)
+            if raw[:4] == struct.pack("<I", FRAME):  # the dictionary itself may be compressed
+                raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+            reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
         elif magic == FRAME:
-            yield parse_record(reader.decompress(frame))
+            try:
+                record = (one := reader.decompressobj()).decompress(frame)  # frames of other writers may not tell their size
+            except zstandard.ZstdError as error:
+                raise WarcError(f"a frame that can't be decompressed: {error}") from error
+            if not one.eof:
+                raise WarcError("a frame without an end")
+            yield parse_record(record)
 
 
 def train_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
@@ -209,7 +254,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, the one with the largest page_id is the response
     and the others revisit it; rows that repeat that page_id are responses too. Null ids are smaller than all
-    others; a payload seen only under null ids is a response each time. A null html is the empty payload.
+    others; a payload seen only under null ids is a response each time. A null html is the empty payload. A table
+    without rows gives archives without records. One task writes one archive, whose dictionary its records need, so
+    files are not split by number of rows.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     digested = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"))
@@ -221,7 +268,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     )
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     rows = digested.drop("size").join(largest, "digest", "left").withColumn("revisit", revisit)
-    rows.mapInArrow(_write_part, "value binary").select(F.col("value").cast("string")).write.text(path)
+    rows.mapInArrow(_write_part, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 0).text(path)
 
 
 def _read_part(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
@@ -247,7 +294,15 @@ def _read_part(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row per record of the archives under path, with the payload of responses if asked for.
 
-    Every record is decompressed and checked; WarcError ends the job at the first that is not valid.
+    Every record is decompressed and checked; WarcError ends the job at the first that is not valid. Records of all
+    types are read; those that write_archives did not name have no page_id. A task holds one archive at a time, so
+    archives must fit a worker's memory.
     """
     archives = spark.read.format("binaryFile").load(path).select("content")
     return archives.mapInArrow(lambda batches: _read_part(batches, payload), RECORDS + (", payload binary" if payload else ""))
+
+
+def dangling(records: DataFrame) -> DataFrame:
+    """The revisits among records whose ``refers_to`` is no response's page_id with the same digest."""
+    responses = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return records.filter("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left_anti")
