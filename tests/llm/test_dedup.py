@@ -173,3 +173,25 @@ def test_components(spark, links):
 def test_components_of_a_path(spark):
     links = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r["root"] for r in components(links).collect()} == {0}
+
+
+def test_words_that_agree_under_polynomials_of_powers_of_two(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a  # the words of Thue and Morse
+    around = "one two three four five six seven eight nine"
+    texts = [f"{around} {w} {around}" for w in (a, b, a)]
+    for seed in (0, 1):
+        sets = [set(v.tolist()) for v in shingle_sets(texts, seed)]
+        assert sets[0] == sets[2] and len(sets[0] - sets[1]) == 5 == len(sets[1] - sets[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_groups(docs).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_hashes_of_long_texts_do_not_depend_on_their_place():
+    words = [f"w{i}" for i in range(120_000)]
+    long, short = " ".join(words), " ".join(words[-2000:])
+    assert len(long) > 1 << 19
+    for seed in (0, 1):
+        whole, end = (set(v.tolist()) for v in shingle_sets([long, short], seed))
+        assert len(whole) == 120_000 - 4 and len(end - whole) == 0

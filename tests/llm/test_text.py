@@ -12,7 +12,7 @@ from windrow.llm import language_id, pii, toxicity
 from windrow.llm.common import table
 from windrow.llm.mixing import TURNS, apportion, mix, mix_rows
 from windrow.llm.queries import MODEL
-from windrow.llm.sentencepiece_bpe import PrefixTable, decode_ids, encode_texts, tokenised
+from windrow.llm.sentencepiece_bpe import PrefixTable, decode_ids, encode_texts, model_bytes, tokenised
 
 PATH = public_tokenizers.path(MODEL)
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,7 +35,7 @@ def odd_texts():
 
 
 def test_ids_and_texts_are_the_library_s(spark, sf):
-    model, own = sentencepiece.SentencePieceProcessor(model_file=PATH), PrefixTable(PATH)
+    model, own = sentencepiece.SentencePieceProcessor(model_file=PATH), PrefixTable(model_bytes(PATH))
     texts = odd_texts() + [r["text"] for r in table(spark, sf, "documents").collect()] + [own.piece[i] for i in own.piece]
     for text in texts:
         ids = model.encode(text)
@@ -45,7 +45,7 @@ def test_ids_and_texts_are_the_library_s(spark, sf):
 
 
 def test_decoding_any_ids():
-    model, own = sentencepiece.SentencePieceProcessor(model_file=PATH), PrefixTable(PATH)
+    model, own = sentencepiece.SentencePieceProcessor(model_file=PATH), PrefixTable(model_bytes(PATH))
     draw = random.Random(4)
     bytes_ = [i for i in range(3, 259)]
     for _ in range(500):

@@ -7,8 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Base of the polynomial hash (odd, so it has an inverse modulo 2 ** 64), and characters handled at once.
-BASE, CHARS = 0x9E3779B97F4A7C15, 250_000
+#: Bases of the polynomial hashes modulo 2 ** 64 (odd, so they have inverses) and modulo PRIME, for two independent
+#: functions; and characters handled at once. The prime is there because some pairs of long words (those of Thue
+#: and Morse) agree under every polynomial modulo a power of two.
+BASES, PRIME_BASES, PRIME, CHARS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (7_368_787, 10_000_019), 16_777_213, 250_000
+#: Terms below 2 ** 45 that 64 bits can add up.
+ADDED = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -24,17 +28,28 @@ def powers(base: int, count: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def prime_powers(base: int, count: int) -> np.ndarray:
+    out = np.ones(count, np.uint64)
+    done = 1
+    while done < count:
+        more = min(done, count - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, PRIME)) % np.uint64(PRIME)
+        done += more
+    return out
 
 
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i, for the largest count asked for up to a bound; beyond it they aren't kept."""
-    held = _tables.get(0)
+_tables: dict[int, tuple[np.ndarray, ...]] = {}
+
+
+def _powers(count: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Powers and inverse powers of a function's two bases, for the largest count asked for up to a bound; beyond it they aren't kept."""
+    held = _tables.get(seed)
     if held is None or len(held[0]) < count:
         size = max(count, CHARS + CHARS // 4)
-        held = powers(BASE, size), powers(pow(BASE, -1, 1 << 64), size)
+        base, other = BASES[seed], PRIME_BASES[seed]
+        held = powers(base, size), powers(pow(base, -1, 1 << 64), size), prime_powers(other, size), prime_powers(pow(other, -1, PRIME), size)
         if size <= 8 * CHARS:
-            _tables[0] = held
+            _tables[seed] = held
     return held
 
 
@@ -65,15 +80,22 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """Hashes of any stretches of one array of code points, from sums over its prefixes."""
-
-    def __init__(self, codes: np.ndarray):
-        power, self.inverse = _powers(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=self.sums[1:])
+    """Hashes of any stretches of one array of code points, from sums over its prefixes; ``seed`` chooses the function."""
+
+    def __init__(self, codes: np.ndarray, seed: int = 0):
+        power, self.inverse, small, self.small_inverse = _powers(len(codes) + 1, seed)
+        values = codes.astype(np.uint64) + np.uint64(1)
+        self.sums, self.small_sums = np.zeros((2, len(codes) + 1), np.uint64)
+        np.cumsum(values * power[: len(codes)], out=self.sums[1:])
+        values *= small[: len(codes)]
+        if len(codes) > ADDED:
+            values %= np.uint64(PRIME)
+        np.cumsum(values, out=self.small_sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        small = (self.small_sums[ends] - self.small_sums[starts]) % np.uint64(PRIME) * self.small_inverse[starts] % np.uint64(PRIME)
+        whole = (self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)
+        return mixed(whole + mixed(small))
 
 
 @lru_cache(maxsize=1)

@@ -14,7 +14,8 @@ everything from there on is about classes, so thousands of copies cost as much a
    of the rarest seventh of the smaller set's shingles and the rarest quarter of the larger's. In a long list of those,
    all members are measured against its most typical one, which links most of a group of near copies in linear work;
    what is measured also bounds the similarity of the other pairs, and few of those remain to be checked.
-5. Links are confirmed by the exact similarity of whole sets, and connected components follow from them.
+5. Links are confirmed by the exact similarity of whole sets, hashed by a second function that shares nothing with
+   the first, so a pair is only linked if it is similar under both; connected components follow from the links.
 """
 
 from __future__ import annotations
@@ -35,29 +36,32 @@ WORDS, PERCENT, K, OVERLAP = 5, 75, 64, 0.45
 #: Classes in a list that gives all its pairs; rounds over longer ones; rows of ids that may be broadcast (16 bytes each).
 LIST, ROUNDS, BROADCAST = 64, 2, 500_000
 
-_FACTORS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_FACTORS, _OTHER_FACTORS = mixed(np.arange(1, 2 * WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, WORDS) | np.uint64(1)
+#: The function that links are confirmed with.
+SECOND = 1
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], seed: int = 0) -> Iterator[np.ndarray]:
     """For each text its distinct hashed shingles, ascending; none without words, one with fewer words than a shingle."""
+    factors = _OTHER_FACTORS if seed else _FACTORS
     whole = [t or "" for t in texts]
     for begin, end in groups(whole):
         codes, begins = joined(whole[begin:end])
         codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint32)
         starts, ends = runs((codes != 32) & ((codes < 9) | (codes > 13)))
-        words = Spans(codes).hash(starts, ends)
+        words = Spans(codes, seed).hash(starts, ends)
         bounds = np.searchsorted(starts, begins)
         rolled = np.zeros(len(words), np.uint64)
         if len(words) >= WORDS:
             n = len(words) - WORDS + 1
             for k in range(WORDS):
-                rolled[:n] += words[k : k + n] * _FACTORS[k]
+                rolled[:n] += words[k : k + n] * factors[k]
             rolled = mixed(rolled)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= WORDS:
                 yield np.unique(rolled[a : b - WORDS + 1])
             elif b > a:
-                yield mixed(np.array([(words[a:b] * _FACTORS[: b - a]).sum() + np.uint64(b - a)], np.uint64))
+                yield mixed(np.array([(words[a:b] * factors[: b - a]).sum() + np.uint64(b - a)], np.uint64))
             else:
                 yield rolled[:0]
 
@@ -126,6 +130,11 @@ def _estimate_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
 def _verify_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose whole sets are similar enough."""
     for whole in batches:
@@ -133,11 +142,8 @@ def _verify_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, 200)
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             texts = dict(zip(a, batch.column("ta").to_pylist(), strict=True)) | dict(zip(b, batch.column("tb").to_pylist(), strict=True))
-            sets = dict(zip(texts, (v.copy() for v in shingle_sets(list(texts.values()))), strict=True))
-            good = []
-            for x, y in zip(a, b, strict=True):
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                good.append(100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common))
+            sets = dict(zip(texts, (v.copy() for v in shingle_sets(list(texts.values()), SECOND)), strict=True))
+            good = [_linked(sets[x], sets[y]) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -201,12 +207,13 @@ def _leader_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, d = batch.column("c").to_pylist(), batch.column("d").to_pylist()
             texts = dict(zip(c, batch.column("tc").to_pylist(), strict=True)) | dict(zip(d, batch.column("td").to_pylist(), strict=True))
             sets = dict(zip(texts, (v.copy() for v in shingle_sets(list(texts.values()))), strict=True))
+            others = dict(zip(texts, (v.copy() for v in shingle_sets(list(texts.values()), SECOND)), strict=True))
             out: tuple[list, list, list] = ([], [], [])
             for x, y, often in zip(c, d, batch.column("often"), strict=True):
                 common = np.intersect1d(sets[x], sets[y], assume_unique=True)
                 out[0].append(len(common))
                 out[1].append(int(np.isin(common, np.asarray(often.values).view(np.uint64)).sum()))
-                out[2].append(100 * len(common) >= PERCENT * (len(sets[x]) + len(sets[y]) - len(common)))
+                out[2].append(_linked(others[x], others[y]))
             columns = [batch.column("c"), batch.column("d"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["c", "d", "common", "inside", "linked"])
 
@@ -320,7 +327,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     A null text is empty; a document without words has no shingles and is linked with nothing, so it is its own
     component. component_id is the smallest doc_id that links reach; null ids come after all others, and a component
     without any id has none. Rows that repeat the component's id are all kept. Whole texts are read; columns other
-    than doc_id and text are not.
+    than doc_id and text are not. A table without rows gives none.
     """
     classes, roots = near_links(docs)
     placed = materialise(_with_roots(classes.table.select("c", "name", "rep"), roots), "placed")
@@ -334,7 +341,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, of which near_groups keeps the document: one of each component.
 
-    An id that several rows carry stays if near_groups keeps one of them.
+    An id that several rows carry stays if near_groups keeps one of them; so do rows without an id whose component
+    has none, and documents without words. Texts are read whole; a table without rows gives none; columns of any
+    name stay as they are.
     """
     key = lambda: F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key")
     dropped = near_groups(docs).groupBy(key()).agg(F.max("kept").alias("kept")).filter("not kept").select("key")

@@ -32,8 +32,8 @@ MOST_KEPT, LONGEST_KEPT, MOST_PAIRS = 250_000, 64, 200_000
 class PrefixTable:
     """The vocabulary of a SentencePiece BPE model with byte fallback, its pair test and its automaton."""
 
-    def __init__(self, path: str):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, proto: bytes):
+        model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.piece = {i: model.id_to_piece(i) for i in plain}
@@ -41,16 +41,16 @@ class PrefixTable:
         self.byte_of = {i: b for b, i in enumerate(self.byte_id)}
         self.unknown = model.unk_id()
         if not all(map(model.is_byte, self.byte_id)):
-            raise ValueError(f"{path} has no byte fallback")
+            raise ValueError("the model has no byte fallback")
         # Runs of spaces share one score below all others: they merge last and leftmost first, on their own.
         self.run = {len(p): i for i, p in self.piece.items() if set(p) == {MARK}}
         long_runs = {i for n, i in self.run.items() if n > 1}
         others = [i for i in plain if i not in long_runs]
         scores = sorted(((model.get_score(i), i) for i in others if len(self.piece[i]) > 1), reverse=True)
         if len({s for s, _ in scores}) != len(scores) or long_runs and scores and max(map(model.get_score, long_runs)) >= scores[-1][0]:
-            raise ValueError(f"{path} is not a merge vocabulary with distinct scores")
+            raise ValueError("the model is not a merge vocabulary with distinct scores")
         if any(MARK * 2 in self.piece[i] for i in others):
-            raise ValueError(f"{path} has tokens that hold a run of spaces and more")
+            raise ValueError("the model has tokens that hold a run of spaces and more")
         rank = {self.piece[i]: n for n, (_, i) in enumerate(scores)}
         self.single = {p: i for i in others if len(p := self.piece[i]) == 1}
         self.rank = rank
@@ -227,9 +227,11 @@ class PrefixTable:
         """
         if not text:
             return 0, "", ""
-        pieces = self.pieces(text)
+        pieces, odd = self.pieces(text), self.kept.odd
         ids = ",".join(map(self.kept.__getitem__, pieces))
-        if self.kept.odd:
+        # Only texts with an odd piece are decoded id by id, here and in texts to come.
+        if self.kept.met or odd and not odd.isdisjoint(pieces):
+            self.kept.met = False
             return ids.count(",") + 1, ids, self.decode([int(i) for i in ids.split(",")])
         return ids.count(",") + 1, ids, "".join(pieces)[1:].replace(MARK, " ")
 
@@ -237,19 +239,25 @@ class PrefixTable:
 class _Kept(dict):
     """Pieces and their ids as text; bounded in number and in the length of a piece.
 
-    ``odd`` tells whether any piece was met whose ids decode to another text."""
+    ``odd`` holds the kept pieces whose ids decode to another text, and ``met`` tells whether one was encoded just now."""
 
     def __init__(self, table: PrefixTable):
-        self.table, self.odd = table, False
+        self.table, self.odd, self.met = table, set(), False
 
     def __missing__(self, piece: str) -> str:
         ids = self.table.encode_piece(piece)
-        self.odd |= self.table.decode_piece(ids) != piece
+        odd = self.table.decode_piece(ids) != piece
+        self.met |= odd
         out = ",".join(map(str, ids))
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_KEPT:
+                # What is still to come of the text may hold a piece that is known to be odd, so those stay known.
                 self.clear()
             self[piece] = out
+            if odd and len(self.odd) < MOST_KEPT:
+                self.odd.add(piece)
+            elif odd:
+                del self[piece]  # it will be met again each time
         return out
 
 
@@ -274,16 +282,23 @@ def _bytes_text(held: bytearray) -> str:
 
 
 @lru_cache(maxsize=2)
-def prefix_table(path: str) -> PrefixTable:
+def prefix_table(proto: bytes) -> PrefixTable:
     """One table per model and Python process."""
-    return PrefixTable(path)
+    return PrefixTable(proto)
+
+
+def model_bytes(path: str) -> bytes:
+    """The model, read on the driver: it goes to the executors with the tasks, which need not have the file."""
+    with open(path, "rb") as source:
+        return source.read()
 
 
 def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids) for every row of ``docs``; a null or empty text has no ids."""
+    proto = model_bytes(model_path)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = prefix_table(model_path)
+        table = prefix_table(proto)
         for batch in batches:
             ids = pa.array([table.encode(t.as_py() or "") for t in batch.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
@@ -293,9 +308,10 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give an empty text."""
+    proto = model_bytes(model_path)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = prefix_table(model_path)
+        table = prefix_table(proto)
         for batch in batches:
             text = pa.array([table.decode(i.as_py() or []) for i in batch.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text], ["doc_id", "text"])
@@ -307,12 +323,13 @@ def tokenised(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, over the whole text.
 
     Null and empty texts have no ids; their digests are those of the empty string. Repeated rows are encoded each;
-    columns other than doc_id and text are not read. A Python worker holds one batch of texts, one text's ids and
-    the bounded table of pieces.
+    columns other than doc_id and text are not read; a table without rows gives none. A Python worker holds one batch
+    of texts, one text's ids and the bounded table of pieces.
     """
+    proto = model_bytes(model_path)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = prefix_table(model_path)
+        table = prefix_table(proto)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             found = []
