@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from windrow.llm.ann import Forest, nearest
+from windrow.llm.ann import BLOCK_ROWS, Forest, nearest
 from windrow.llm.common import table
 from windrow.llm.url_filter import RULES, judge, propagate
 
@@ -50,11 +50,46 @@ def test_many_equal_vectors(spark):
     assert found == [(0, i) for i in (1, 2, 3, 4, 5)]
 
 
-def test_forest_searches_widen_until_they_hold_enough():
-    x = np.random.default_rng(0).standard_normal((500, 8))
-    for least in (1, 50, 500, 900):
-        for q, found in Forest(x, trees=4).search(x[:20], least):
-            assert q in found and len(found) >= min(least, 500)
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("spread", "most"), [(0.3, 0.02), (0.8, 0.1), (None, 0.5)])
+def test_recall_and_work_of_a_whole_block(spread, most):
+    """65,536 rows: clusters are searched by long prefixes, and even directions without structure not by all rows."""
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((BLOCK_ROWS, 64))
+    if spread:
+        x = draw.standard_normal((300, 64))[draw.integers(0, 300, BLOCK_ROWS)] + spread * x
+    x = unit(x)
+    asked = np.arange(0, BLOCK_ROWS, 400)
+    cosine = x[asked] @ x.T
+    cosine[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-cosine, axis=1)[:, :5]
+    sampled = cosine[:, draw.permutation(BLOCK_ROWS)[:16_384]]
+    bound = np.partition(sampled, -5, axis=1)[:, -5] - 1e-9
+    hits = scanned = 0
+    for q, found, _ in Forest(x).search(x[asked], bound, 5):
+        hits, scanned = hits + np.isin(true[q], found).sum(), scanned + len(found)
+    assert hits >= 0.93 * 5 * len(asked) and scanned <= most * len(asked) * BLOCK_ROWS
+
+
+def test_without_a_bound_everything_is_searched():
+    x = unit(np.random.default_rng(0).standard_normal((500, 8)))
+    assert all(len(found) == 500 for _, found, _ in Forest(x, trees=4).search(x[:20], np.full(20, -2.0), 600))
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1.1e-200]), (2, [-1e300, 1.0]), (3, [3e-308, 0.0]), (4, [1.0, 2.0]), (50, [1e-320, 1e-320])]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in found] == [(0, 50), (0, 1), (0, 4), (50, 0), (50, 1), (50, 4)]
+    assert [round(r["score"], 6) for r in found] == [1.0, 0.998868, 0.948683] * 2
+
+
+def test_several_vectors_of_an_id_and_clashing_names(spark):
+    rows = [(0, [1.0, 0.0], 1, 1.0, 1, 1), (7, [0.0, 1.0], 2, 1.0, 1, 1), (7, [1.0, 0.1], 2, 1.0, 1, 1), (8, [1.0, 1.0], 2, 1.0, 1, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int, bound double, part int, vector int")
+    assert [(r["rank"], r["vec_id"]) for r in nearest(frame).orderBy("rank").collect()] == [(1, 7), (2, 8)]
 
 
 def brute_rule(url):
@@ -109,7 +144,7 @@ def test_ranks(spark, links):
     seeds = {"a": (1.0, 0.0), "c": (0.0, 0.5), "z": (0.2, 0.1)}
     got = propagate(
         spark.createDataFrame([(h, t, d) for h, (t, d) in seeds.items()], "host string, trusted double, distrusted double"),
-        spark.createDataFrame(links, "source string, target string, pages long"), rounds=60, still=1e-9,
+        spark.createDataFrame(links, "source string, target string, pages long"),
     )
     hosts = sorted({*seeds, *(x for s, t, _ in links for x in (s, t))})
     rank = {h: [0.15 * x for x in seeds.get(h, (0.0, 0.0))] for h in hosts}
@@ -120,4 +155,14 @@ def test_ranks(spark, links):
             new[t][0] += 0.85 * rank[s][0] * w / sum(x for a, _, x in links if a == s)
             new[s][1] += 0.85 * rank[t][1] * w / sum(x for _, b, x in links if b == t)
         rank = new
-    assert {r["host"]: (round(r["trust"], 6), round(r["distrust"], 6)) for r in got.collect()} == {h: (round(a, 6), round(b, 6)) for h, (a, b) in rank.items()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in got.collect()}
+    assert set(got) == set(rank) and all(got[h] == pytest.approx(rank[h], rel=0.005, abs=1e-12) for h in rank)
+
+
+def test_ranks_reach_hosts_that_are_far_away(spark):
+    """Distrust follows a chain of 30 links back, one link each round, and trust comes from the near side."""
+    names = [f"h{i:02}" for i in range(31)]
+    hosts = spark.createDataFrame([("h30", 0.0, 1.0)], "host string, trusted double, distrusted double")
+    links = spark.createDataFrame([(a, b, 1) for a, b in zip(names, names[1:])], "source string, target string, pages long")
+    got = {r["host"]: r["distrust"] for r in propagate(hosts, links).collect()}
+    assert all(got[h] == pytest.approx(0.15 * 0.85 ** (30 - i), rel=1e-6) for i, h in enumerate(names))

@@ -3,7 +3,8 @@
 Hosts are judged by two personalised PageRanks over the host graph: trust flows along links from hosts whose pages
 are allowed, distrust flows against links from hosts whose pages are mostly blocked (who links to bad hosts is
 suspect). Both run as DataFrame joins over tables per host and per pair of hosts; each round is written to the
-shared folder, which cuts the lineage.
+shared folder, which cuts the lineage. Rounds go on until no host's ranks move any more, measured by each host's own
+ranks, so that hosts far from every seed are judged by ranks as settled as those of others.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: Share of a rank that follows links; rounds at most; change of all ranks at which rounds end.
-DAMPING, ROUNDS, STILL = 0.85, 20, 1e-4
+#: Share of a rank that follows links; rounds end when the ranks of every host move by less than this part of them.
+DAMPING, STILL = 0.85, 1e-3
 #: Share of a host's pages that must be blocked for it to be a seed of distrust; share of distrust that blocks a host.
+#: Distrust needs that share and trust none, since a host blocked as a whole costs its clean pages, and a few blocked
+#: pages on it are met by their rules anyway; a host trusted for a few pages costs nothing that a rule would block.
 SEED_SHARE, THRESHOLD = 0.5, 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,10 +63,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, still: float = STILL) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, still: float = STILL) -> DataFrame:
     """(host, trust, distrust) from ``hosts`` (host, trusted, distrusted: the seeds' weights) over ``edges`` (source, target, pages).
 
     Linked hosts that have no page take part with no weight of their own. A table without edges leaves the seeds' weights.
+    A host that ranks reach first after n rounds has moved by all it has in that round, so rounds go on; each round
+    leaves ``damping`` of what moved, so they end about log(still) / log(damping) rounds (43) after the last host was reached.
     """
     known = hosts.select("host", "trusted", "distrusted")
     linked = edges.select(F.explode(F.array("source", "target")).alias("host")).distinct().join(known, "host", "left_anti")
@@ -77,7 +82,8 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     ranks = seeds.select("host", own("trusted").alias("trust"), own("distrusted").alias("distrust"))
     if flows.isEmpty():
         return ranks
-    for _ in range(rounds):
+    moving = True
+    while moving:
         sent = F.when(F.col("onward"), F.col("trust")).otherwise(F.col("distrust")) * F.col("share")
         got = (
             flows.join(ranks, "host")
@@ -86,11 +92,11 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         )
         arrived = lambda c: damping * F.coalesce(c, F.lit(0.0))
         new = seeds.join(got, "host", "left").select("host", (own("trusted") + arrived("t")).alias("trust"), (own("distrusted") + arrived("d")).alias("distrust"))
-        new = materialise(new.join(ranks.withColumnsRenamed({"trust": "t0", "distrust": "d0"}), "host").withColumn("moved", F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).drop("t0", "d0"), "ranks")
-        moved = new.agg(F.coalesce(F.sum("moved"), F.lit(0.0))).first()[0]
+        moved = lambda c, old: F.abs(F.col(c) - F.col(old)) > still * F.col(c)
+        before = ranks.withColumnsRenamed({"trust": "t0", "distrust": "d0"})
+        new = materialise(new.join(before, "host").withColumn("moved", moved("trust", "t0") | moved("distrust", "d0")).drop("t0", "d0"), "ranks")
+        moving = not new.filter("moved").isEmpty()
         ranks = new.drop("moved")
-        if moved < still:
-            break
     return ranks
 
 
@@ -99,7 +105,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     The longest rule that fits gives the verdict. Without one, a host is blocked if it has distrust and that makes up
     THRESHOLD or more of its ranks; hosts that neither rank reaches, and urls without a host, are allowed. A null
-    html has no links; repeated rows are judged alike and count each. Only page_id, url and html are read.
+    html has no links; repeated rows are judged alike and count each. Texts are read whole; a table without rows gives
+    none. Only page_id, url and html are read, whatever other columns are called.
     """
     blocked = [rule for verdict, rule in rules if verdict == "block"]
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
