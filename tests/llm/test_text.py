@@ -105,6 +105,54 @@ def test_the_field_learns_its_table():
         assert sum(map(len, found)) == sum(pii.LABELS[x].startswith("B") for x in truth), text
 
 
+def generated(draw):
+    """(text, added spans' texts by kind) of sentences that aren't in the labelled table."""
+    digit = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(draw.choice("abcdefghijklmnoprstuvwyz") for _ in range(draw.randint(2, 9)))
+    hexed = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+
+    def card(n):
+        body = "34"[draw.randint(0, 1)] + digit(n - 2)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    top = draw.choice(["com", "org", "net", "de"])
+    kind, span = draw.choice([
+        ("phone", lambda: f"555-{digit(4)}"), ("phone", lambda: f"({digit(3)}) 555-{digit(4)}"), ("phone", lambda: f"{digit(3)}-555-{digit(4)}"),
+        ("email", lambda: f"{word()}.{word()}(at){word()}.{top}"), ("email", lambda: f"{word()}[at]{word()}.{top}"), ("email", lambda: f"{word()} at {word()} dot {top}"),
+        ("card", lambda: card(15)), ("card", lambda: f"{(c := card(15))[:4]} {c[4:10]} {c[10:]}"),
+        ("secret", lambda: "AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))), ("secret", lambda: hexed(18)), ("secret", lambda: hexed(40)),
+        ("none", lambda: draw.choice([f"in {draw.randint(1500, 2100)}", f"page {draw.randint(1, 900)}", f"version {digit(1)}.{digit(1)}", f"{digit(1)}.{digit(2)} kg", f"{draw.randint(1, 28):02}.{draw.randint(1, 12):02}.2023", f"{draw.randint(10, 23)}:{draw.randint(10, 59)}"])),
+    ])
+    found = span()
+    around = {18: f"password={found}", 40: f'token = "{found}"'}.get(len(found), found) if kind == "secret" and not found.startswith("AKIA") else found
+    text = " ".join([*(word() for _ in range(draw.randint(1, 6))), around, *(word() for _ in range(draw.randint(1, 6)))])
+    return text, kind, found
+
+
+def test_what_the_field_finds_in_texts_it_was_not_trained_on():
+    draw, field = random.Random(77), pii.trained()
+    right, wanted, given = Counter(), Counter(), Counter()
+    for _ in range(1200):
+        text, kind, found = generated(draw)
+        got = [(k, text[a:b]) for k, own in zip(pii.ALL_KINDS, pii.added_spans([text], [pii.base_spans(text)], field)[0], strict=True) for a, b in own]
+        if kind != "none" and any(text[a:b] == found for own in pii.base_spans(text) for a, b in own):
+            continue
+        wanted[kind] += kind != "none"
+        for k, span in got:
+            given[k] += 1
+            right[k] += (k, span) == (kind, found)
+    assert sum(right.values()) >= 0.95 * sum(given.values())
+    assert all(right[k] >= 0.8 * wanted[k] for k in ("email", "card", "phone", "secret")), (right, wanted, given)
+
+
+def test_words_are_read_to_their_end():
+    field = pii.trained()
+    for text in (f"write to {'jane' * 40}(at)example.org now", f"write to {'jane.doe-' * 12}x(at){'mail.' * 30}example.org now"):
+        (a, b), = pii.added_spans([text], [pii.base_spans(text)], field)[0][0]
+        assert text[a:b] == text.split(" ")[2]
+    assert pii.features("9" * 500 + "a") != pii.features("9" * 500 + "(at)a") and pii.shape("ab" * 100 + "1(at)x") == "a91(a)a"
+
+
 def test_decoding_is_exact():
     """Viterbi against all labellings."""
     import itertools
