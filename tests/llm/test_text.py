@@ -74,6 +74,11 @@ def test_patterns():
         text = "".join(draw.choice("a1@.+-(9 )b5%_") for _ in range(draw.randint(0, 30)))
         assert pii.emails(text) == [m.span() for m in EMAIL.finditer(text)], text
         assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in IP.finditer(text)], text
+    for _ in range(3000):
+        text = "".join(draw.choice("0123456789 -+().x") if draw.random() < 0.4 else draw.choice("0123456789") for _ in range(draw.randint(0, 60)))
+        cards = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and pii.luhn(d)]
+        phones = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        assert pii.base_spans(text)[2:] == [cards, phones], text
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     spans = pii.base_spans("ü a@b.c 1.2.3.256 0255.1.1.001, 4111-1111 11111111 +1 (415) 555-2671 +12345")
     assert spans == [[(2, 7)], [(18, 30)], [(32, 50)], [(51, 68)]]
@@ -224,6 +229,19 @@ def test_mix_odd_rows(spark):
     assert mix(docs(spark, [])).count() == 0 and mix_rows(docs(spark, [])).count() == 0
 
 
+def test_mix_with_clashing_columns(spark):
+    rows = [(i, "a b c " * (i % 5), "en", "xyz"[i % 3]) for i in range(60)]
+    plain = docs(spark, rows)
+    clash = plain.selectExpr("*", "1 as key", "'q' as shard", "9 as taken", "2 as size", "3 as target", "4 as place", "5 as row", "6 as copies", "7 as rows", "8 as mark")
+    assert sorted(map(tuple, mix(clash).collect()), key=repr) == sorted(map(tuple, mix(plain).collect()), key=repr)
+    assert mix_rows(clash).columns == clash.columns and mix_rows(clash).count() > 0
+
+
+def test_pii_with_clashing_columns(spark):
+    frame = docs(spark, [(1, "a.b@c.de", "en", "s"), (1, "a.b@c.de", "en", "s")]).selectExpr("*", "1 as spans", "2 as n_email", "3 as base_sha256")
+    assert [(r["n_email"], r["spans"]) for r in pii.find_pii(frame).collect()] == [(1, "email:0:8")] * 2
+
+
 def test_mix_rows(spark, sf):
     frame = table(spark, sf, "documents")
     rows = mix_rows(frame)
@@ -302,11 +320,37 @@ def test_language_odd_rows(spark):
     assert len(found) == len(rows) and all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (100, 101, 102))
     assert {r["lang_pred"] for r in found if r["doc_id"] is not None and r["doc_id"] < 30} == {"en"}
     kept = language_id.keep_identified(frame)
-    assert kept.columns == frame.columns and kept.count() == len(rows) - 3
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} >= set(range(60)) and not {100, 101, 102} & {r["doc_id"] for r in kept.collect()}
+    assert language_id.keep_identified(frame, least=0.0).count() == len(rows) - 3
+    german = language_id.keep_identified(frame, languages=["de"])
+    assert {r["doc_id"] for r in german.collect()} >= set(range(30, 60)) and not set(range(30)) & {r["doc_id"] for r in german.collect()}
     assert language_id.identify(docs(spark, [])).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(docs(spark, [(1, "abc", None, "s")])).collect()} == {"und"}
 
 
+def test_predictions_decide_what_is_kept(spark):
+    frame = table(spark, "/root/testdata/sf0.01", "documents")
+    odd = [
+        "Это русский текст о погоде и о людях, которые живут в городе.", "日本語のテキストです。今日は天気がいい。", "γειά σου κόσμε τι κάνεις",
+        "qbmgld gsvnsg pdvmjq paktmj afgkzs zekngi vdmrlv xkqzjw " * 5, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff " * 4,
+    ]
+    extra = spark.createDataFrame([(10_000_000 + i, t, None, "odd", len(t)) for i, t in enumerate(odd)], frame.schema)
+    kept = {r["doc_id"] for r in language_id.keep_identified(frame.unionAll(extra)).select("doc_id").collect()}
+    assert not any(i >= 10_000_000 for i in kept) and len(kept) >= 0.995 * frame.count()
+
+
+def test_ids_of_many_rows_count_once(spark):
+    """A hot id sends one row to the driver, not its thousands."""
+    hot = spark.range(5000).selectExpr("1 as doc_id", "concat('the house and water ', id % 7) as text", "'en' as lang", "'s' as source")
+    rest = docs(spark, [(10 + i, f"das {i} Haus und Wasser", "de", "s") for i in range(60)] + [(100 + i, f"the house {i} and the water", "en", "s") for i in range(60)])
+    frame = hot.selectExpr("cast(doc_id as long) as doc_id", "text", "lang", "source").unionAll(rest)
+    model = language_id.train(frame, sample=100)
+    assert {"de", "en"} == set(model.languages)
+    labels = spark.createDataFrame([(1, 1)] + [(10 + i, 0) for i in range(60)], "doc_id long, toxic int")
+    machine = toxicity.train(frame, labels)
+    assert machine is not None and toxicity.score_toxicity(frame, labels, machine).count() == 5120
+
+
 def test_every_label_is_learned(spark):
     """More labels than 60, each with words of its own."""
     draw, rows = random.Random(12), []

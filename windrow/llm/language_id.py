@@ -7,11 +7,11 @@ sample of labelled rows; every text is then scored where it lies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean
@@ -30,6 +30,8 @@ FAMILIES = {
 #: Hashed features; rows to train on, shared by all languages, but so many of each at least; the training's rounds and penalty.
 FEATURES, SAMPLE, EACH, ROUNDS, PENALTY = 4096, 3000, 30, 200, 1e-4
 UNDETERMINED = "und"
+#: Score from which a document's language counts as told: the machines that chose it agree more likely than not.
+LEAST_SCORE = 0.5
 
 
 def family_of(language: str) -> str:
@@ -128,7 +130,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = EACH) -> Hierarchy
     """Train on the rows of ``docs`` that aren't held out and have a language and a text with letters.
 
     Every label is learned. At most ``sample`` rows reach the driver, the same number at most for each label, or ``least``
-    of each if there are so many labels that fewer would be left; they are chosen by a hash of their ids. None if there is no such row.
+    of each if there are so many labels that fewer would be left; they are chosen by a hash of their ids. Of an id's
+    several rows of one language one counts, however many they are. None if there is no such row.
     """
     open_rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     counts = open_rows.groupBy("lang").count().collect()
@@ -138,6 +141,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = EACH) -> Hierarchy
     share = F.map_from_arrays(F.array(*(F.lit(r["lang"]) for r in counts)), F.array(*(F.lit(min(1.0, each / r["count"])) for r in counts)))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
     chosen = open_rows.withColumn("drawn", drawn).filter(F.col("drawn") < F.try_element_at(share, F.col("lang")))
+    # An id that many rows share is one draw: combined where the rows lie, and no label sends more than its share.
+    chosen = chosen.groupBy("lang", "drawn", "doc_id").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))
+    chosen = chosen.withColumn("place", place).filter(F.col("place") <= each)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +154,6 @@ def train(docs: DataFrame, sample: int = SAMPLE, least: int = EACH) -> Hierarchy
 
     rows = chosen.select("drawn", "lang", "text").mapInArrow(lean(part), "drawn double, lang string, x binary").filter("x is not null").collect()
     rows = sorted(((r["lang"], r["drawn"], bytes(r["x"])) for r in rows))
-    rows = [r for n, r in enumerate(rows) if n < each or rows[n - each][0] != r[0]]
     if not rows:
         return None
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), FEATURES).astype(np.float32)
@@ -171,7 +177,9 @@ def identify(docs: DataFrame, model: Hierarchy | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learns from ``docs`` unless given a model. Whole texts are read; a null text or one without a letter is ``und``
-    with score 0. Repeated rows are predicted alike; columns other than doc_id, text and lang are not read.
+    with score 0, and so is every text if there is nothing to learn from. Repeated rows are predicted alike, and of
+    languages with equal votes the first by name is chosen. A table without rows gives none. Columns other than
+    doc_id, text and lang are not read, whatever their names.
     """
     model = model or train(docs)
 
@@ -186,15 +194,23 @@ def identify(docs: DataFrame, model: Hierarchy | None = None) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(part), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Hierarchy | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told: those that aren't ``und``."""
+def keep_identified(docs: DataFrame, model: Hierarchy | None = None, least: float = LEAST_SCORE, languages: Iterable[str] | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose predicted language is one of ``languages`` (any learned one if None) with
+    a score of ``least`` or more.
+
+    Texts in a language or script that wasn't learned, or in none, come out with low scores and are rejected, as are
+    null texts, texts without a letter, and all texts if there is nothing to learn from. Repeated rows are treated
+    alike; a table without rows gives none; columns of any name stay as they are.
+    """
     model = model or train(docs)
+    wanted = None if languages is None else frozenset(languages)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(at, AT_ONCE)
-                language, _ = predict(model, [t.as_py() for t in some.column("text")])
-                yield some.filter(pa.array([x != UNDETERMINED for x in language]))
+                language, score = predict(model, [t.as_py() for t in some.column("text")])
+                good = [x != UNDETERMINED and s >= least and (wanted is None or x in wanted) for x, s in zip(language, score, strict=True)]
+                yield some.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(lean(part), docs.schema)

@@ -2,8 +2,11 @@
 
 The mix is made of equal blocks of ``BLOCK`` words. Sainte-Lague's highest quotients (target / (2 k + 1)) give
 every source an integer number of blocks, and the same rule deals each source's blocks to its shards, in
-proportion to their sizes; what is beyond twice a shard's words is dealt again. Within a shard the documents stand in a seeded order and their words form a ring; the
-quota's blocks are laid round it from a seeded place, so that no word is taken a third time before all are taken twice.
+proportion to their sizes; what is beyond twice a shard's words is dealt again. Within a shard the documents stand in
+a seeded order and their words form a ring, cut into blocks; the quota's blocks are those that follow each other round
+it from a seeded place. The seed thus chooses through the order of the documents and the place of the first block, not
+by a draw for each block: neighbours on the ring are documents that have nothing to do with each other, no word is
+taken a third time before all are taken twice, and no table of all blocks is needed.
 
 All tables but the first two are per source or per (source, shard); the documents are dealt out once, by
 (source, shard), so that a source with a third of all rows is spread over all shards.
@@ -124,8 +127,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) ->
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, and the source's key.
 
     size is the number of words (null text: 0); sources stand in code-point order, null last and a source like
-    any other. A document is taken whole at most TURNS times. Rows that repeat a doc_id stay separate documents.
-    Everything follows from the rows alone, so reruns agree. Other columns of ``docs`` are not read.
+    any other. A document is taken whole at most TURNS times. Rows that repeat a doc_id stay separate documents; a
+    null doc_id is one like any other. Everything follows from the rows alone, so reruns agree. Texts are counted
+    whole; a table without rows gives none. Other columns of ``docs`` are not read, whatever their names.
     """
     sized = materialise(
         docs.select("doc_id", "source", source_key().alias("key"), _size()),
@@ -193,8 +197,9 @@ def _copies(sized: DataFrame) -> DataFrame:
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``, all columns: every document 0, 1 or 2 times, so that each source meets its target.
 
-    Documents without words are left out. Rows that agree in all columns are told apart by nothing, so one of them
-    stands for all; columns of kinds that have no hash are not compared.
+    Documents without words, null texts among them, are left out. Rows that agree in all columns are told apart by
+    nothing, so one of them stands for all; columns of kinds that have no hash are not compared. Columns of any name
+    stay as they are; a table without rows gives none.
     """
     of = ["key", "size", "mark"]
     compared = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]

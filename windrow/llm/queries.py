@@ -24,44 +24,54 @@ MODEL = "piece_bpe_32k.model"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back; a null html is an empty payload, a null id comes after all others, pages with equal payloads refer to the largest id. No pages, no rows; see write_archives."""
     path = shared_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).drop("url")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among documents; null and empty texts are linked with nothing, repeated rows are equal sets. No documents, no rows; see near_groups."""
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal documents; null texts are empty ones, null ids come after all others. No documents, no rows; see exact_groups."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document; ``und`` for null and letterless texts and where nothing is labelled. No documents, no rows; see identify."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document; null texts have none, a null source is one of its own. No documents, no rows; see mix."""
     return mix(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document; null and empty texts have none. No documents, no rows; see find_pii."""
     return find_pii(table(spark, sf_dir, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of each document; null and empty texts have no ids. No documents, no rows; see tokenised."""
     return tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every fiftieth vector; null, zero and non-finite vectors take no part, ties go to the smaller id. No vectors, no rows; see nearest."""
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on each page; a null url has an empty host and path and is allowed. No pages, no rows; see judge."""
     return judge(table(spark, sf_dir, "pages"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for each document; null and empty texts get the bias alone, all get 0 without labels. No documents, no rows; see score_toxicity."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -168,6 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     drawn = F.xxhash64("doc_id", F.lit("toxic"))
     chosen = [known.filter(F.col("toxic") == k).orderBy(drawn, "doc_id").limit(sample) for k in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    # Of an id's several rows one counts, combined where they lie, so the driver gets 2 * sample rows at most.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +192,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Machine | None = N
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Whole texts are scored; null and empty texts have no terms and get the score of the bias alone. Without any
-    label to learn from all scores are 0. Repeated rows score alike; columns other than doc_id, text, toxic are not read.
+    label to learn from all scores are 0. Repeated rows score alike, and of those with one doc_id one is learned from.
+    Texts are read whole; a table without rows gives none; columns other than doc_id, text, toxic are not read,
+    whatever their names.
     """
     model = model or train(docs, labels)
 
