@@ -53,6 +53,7 @@ class PrefixTable:
             raise ValueError("the model has tokens that hold a run of spaces and more")
         rank = {self.piece[i]: n for n, (_, i) in enumerate(scores)}
         self.single = {p: i for i in others if len(p := self.piece[i]) == 1}
+        self.singles = frozenset(self.single)
         self.rank = rank
         self.id_of = {self.piece[i]: i for i in others}
         self.spines(rank)
@@ -125,28 +126,33 @@ class PrefixTable:
         return fits
 
     def _known(self, text: str) -> list[int]:
-        """The ids of a text without unknown characters, runs of spaces as single ones."""
-        last: list[int] = [0] * len(text)
-        compatible = self.compatible
-        at, ending = 0, []
-        for end, found in self.automaton.iter(text):
-            if end != at:
-                self._choose(last, at, ending, compatible)
-                at, ending = end, []
-            ending.append(found)
-        self._choose(last, at, ending, compatible)
-        out, at = [], len(text) - 1
-        while at >= 0:
-            out.append(last[at])
-            at -= len(self.piece[last[at]])
-        return out[::-1]
+        """The ids of a text without unknown characters, runs of spaces as single ones.
 
-    def _choose(self, last, at, ending, compatible) -> None:
-        for token, size in ending:
-            if size == at + 1 or compatible(last[at - size], token):
-                last[at] = token
-                return
-        raise AssertionError("a prefix without an encoding")
+        The automaton names the tokens that end at a position one after the other; the first that is compatible with
+        the last token of the prefix before it is the last token there, and no other is.
+        """
+        last, done = [-1] * len(text), -1
+        compatible, known = self.compatible, self.fits.get
+        for end, (token, size) in self.automaton.iter(text):
+            if end == done:
+                continue
+            if size <= end:
+                before = last[end - size]
+                fits = known(before << 20 | token)
+                if fits is None:
+                    fits = compatible(before, token)
+                if not fits:
+                    continue
+            last[end] = token
+            done = end
+        if -1 in last:
+            raise AssertionError("a prefix without an encoding")
+        out, at, piece = [], len(text) - 1, self.piece
+        while at >= 0:
+            out.append(token := last[at])
+            at -= len(piece[token])
+        out.reverse()
+        return out
 
     def _spaces(self, count: int) -> list[int]:
         """How the library merges so many single spaces: the leftmost pair that makes a token, again and again."""
@@ -167,14 +173,15 @@ class PrefixTable:
         """The ids of a normalised text (spaces as marks, one of them in front)."""
         out: list[int] = []
         begin = 0
-        for k, c in enumerate(text):
-            if c not in self.single:
-                if k > begin:
-                    out += self._known(text[begin:k])
-                out += [self.byte_id[b] for b in c.encode()]
-                begin = k + 1
+        if not self.singles.issuperset(text):
+            for k, c in enumerate(text):
+                if c not in self.single:
+                    if k > begin:
+                        out += self._known(text[begin:k])
+                    out += [self.byte_id[b] for b in c.encode()]
+                    begin = k + 1
         if begin < len(text):
-            out += self._known(text[begin:])
+            out += self._known(text[begin:] if begin else text)
         if MARK * 2 in text:
             one, merged, n = self.run[1], [], 0
             for i in [*out, -1]:
@@ -246,7 +253,8 @@ class _Kept(dict):
 
     def __missing__(self, piece: str) -> str:
         ids = self.table.encode_piece(piece)
-        odd = self.table.decode_piece(ids) != piece
+        # Plain tokens spell the piece that they cover, so only bytes can decode to something else.
+        odd = not self.table.byte_of.keys().isdisjoint(ids) and self.table.decode_piece(ids) != piece
         self.met |= odd
         out = ",".join(map(str, ids))
         if len(piece) <= LONGEST_KEPT:
