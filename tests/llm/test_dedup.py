@@ -195,3 +195,33 @@ def test_hashes_of_long_texts_do_not_depend_on_their_place():
     for seed in (0, 1):
         whole, end = (set(v.tolist()) for v in shingle_sets([long, short], seed))
         assert len(whole) == 120_000 - 4 and len(end - whole) == 0
+
+
+def test_without_broadcasts(spark, sf, monkeypatch):
+    """Beyond the counted bound of a broadcast the same rows come out of shuffled joins."""
+    from windrow.llm import exact_dedup, mixing
+
+    docs = table(spark, sf, "documents")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    runs = (exact_groups, keep_first_copies, near_groups, keep_one_of_near_copies, mixing.mix, mixing.mix_rows)
+    before = [rows(run(docs)) for run in runs]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for module in (exact_dedup, mixing, near_dedup):
+            monkeypatch.setattr(module, "BROADCAST", 0)
+        assert [rows(run(docs)) for run in runs] == before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_tables_written_on_the_way_are_deleted(spark, sf):
+    from pathlib import Path
+
+    from windrow.llm.common import shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file://")) / "windrow"
+    before = set(top.rglob("*.parquet")) if top.exists() else set()
+    found = near_groups(table(spark, sf, "documents"))
+    left = {f.parent.name for f in set(top.rglob("*.parquet")) - before}
+    assert left == {"sketches", "components"} and found.count() > 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import ctypes
 import functools
 import shutil
@@ -88,12 +90,56 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+class Temporary:
+    """The tables written within a ``temporary`` block."""
+
+    def __init__(self):
+        self.paths: dict[str, SparkSession] = {}
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These tables (as ``materialise`` gave them) outlive the block."""
+        for table in tables:
+            session = self.paths.pop(table._windrow_path, None)
+            if session is not None and len(held := _open.get()) > 1:
+                held[-2].paths[table._windrow_path] = session
+
+    def discard(self, table: DataFrame) -> None:
+        """Delete a table that is no longer needed, if it was written within the block."""
+        if session := self.paths.pop(table._windrow_path, None):
+            _delete(session, table._windrow_path)
+
+
+_open: contextvars.ContextVar[tuple[Temporary, ...]] = contextvars.ContextVar("windrow_temporary", default=())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary():
+    """Tables that ``materialise`` writes within the block are deleted at its end, but for those that are kept."""
+    held = Temporary()
+    token = _open.set((*_open.get(), held))
+    try:
+        yield held
+        for path, session in held.paths.items():
+            _delete(session, path)
+    finally:
+        _open.reset(token)  # what a failed block has written goes with the session
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there, and lost executors
     cost no more than the tasks that they ran. The commit protocol of Spark's writers covers retried tasks."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._windrow_path = path
+    if held := _open.get():
+        held[-1].paths[path] = df.sparkSession
+    return out
 
 
 def normal_text(col: str = "text"):

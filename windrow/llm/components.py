@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, temporary
 
 
 def _towards_least(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -28,13 +28,18 @@ def components(links: DataFrame) -> DataFrame:
     node, after about as many rounds as the logarithm of the longest path. Each round is written to the shared
     folder. Links of a node with itself and repeated links are allowed.
     """
-    now = materialise(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % (1 << 40)), F.lit(0))).first())
-    seen = mark(now)
-    while seen[0]:
-        large = materialise(_towards_least(now, True), "large")
-        now = materialise(_towards_least(large, False), "small")
-        if (new := mark(now)) == seen:
-            break
-        seen = new
+    with temporary() as whole:
+        now = materialise(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        seen = mark(now)
+        while seen[0]:
+            before = now
+            with temporary() as round_:
+                large = materialise(_towards_least(before, True), "large")
+                round_.keep(now := materialise(_towards_least(large, False), "small"))
+            whole.discard(before)
+            if (new := mark(now)) == seen:
+                break
+            seen = new
+        whole.keep(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, lean, materialise
+from .common import bounded_broadcast, lean, materialise, temporary
 from .components import components
 from .hashing import Spans, groups, joined, mixed, runs
 
@@ -329,10 +329,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     without any id has none. Rows that repeat the component's id are all kept. Whole texts are read; columns other
     than doc_id and text are not. A table without rows gives none.
     """
-    classes, roots = near_links(docs)
-    placed = materialise(_with_roots(classes.table.select("c", "name", "rep"), roots), "placed")
-    least = materialise(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = materialise(placed.join(least, "root").select("name", "component_id"), "components")
+    with temporary() as made:
+        classes, roots = near_links(docs)
+        placed = materialise(_with_roots(classes.table.select("c", "name", "rep"), roots), "placed")
+        least = materialise(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+        named = materialise(placed.join(least, "root").select("name", "component_id"), "components")
+        made.keep(classes.rows, named)
     rows = classes.rows.select("doc_id", "n", "name")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -346,7 +348,8 @@ def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
     name stay as they are.
     """
     key = lambda: F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key")
-    dropped = near_groups(docs).groupBy(key()).agg(F.max("kept").alias("kept")).filter("not kept").select("key")
-    dropped = materialise(dropped, "dropped")
+    with temporary() as made:
+        dropped = near_groups(docs).groupBy(key()).agg(F.max("kept").alias("kept")).filter("not kept").select("key")
+        made.keep(dropped := materialise(dropped, "dropped"))
     rows = docs.select(F.struct("*").alias("row"), key())
     return rows.join(bounded_broadcast(dropped, dropped.count(), BROADCAST), "key", "left_anti").select("row.*")

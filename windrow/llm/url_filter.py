@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Temporary, materialise, temporary
 
 #: (verdict, rule): host, a slash, and the path's beginning.
 RULES = (
@@ -70,6 +70,13 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, stil
     A host that ranks reach first after n rounds has moved by all it has in that round, so rounds go on; each round
     leaves ``damping`` of what moved, so they end about log(still) / log(damping) rounds (43) after the last host was reached.
     """
+    with temporary() as made:
+        ranks = _settled(hosts, edges, damping, still, made)
+        made.keep(ranks)
+    return ranks.select("host", "trust", "distrust")
+
+
+def _settled(hosts: DataFrame, edges: DataFrame, damping: float, still: float, made: Temporary) -> DataFrame:
     known = hosts.select("host", "trusted", "distrusted")
     linked = edges.select(F.explode(F.array("source", "target")).alias("host")).distinct().join(known, "host", "left_anti")
     seeds = materialise(known.unionByName(linked.select("host", F.lit(0.0).alias("trusted"), F.lit(0.0).alias("distrusted"))), "seeds")
@@ -79,10 +86,8 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, stil
     out = materialise(both.groupBy("host", "onward").agg(F.sum("pages").alias("all")), "degrees")
     flows = materialise(both.join(out, ["host", "onward"]).select("host", "to", "onward", (F.col("pages") / F.col("all")).alias("share")), "flows")
     own = lambda c: (1 - damping) * F.col(c)
-    ranks = seeds.select("host", own("trusted").alias("trust"), own("distrusted").alias("distrust"))
-    if flows.isEmpty():
-        return ranks
-    moving = True
+    ranks = materialise(seeds.select("host", own("trusted").alias("trust"), own("distrusted").alias("distrust")), "ranks")
+    moving = not flows.isEmpty()
     while moving:
         sent = F.when(F.col("onward"), F.col("trust")).otherwise(F.col("distrust")) * F.col("share")
         got = (
@@ -93,10 +98,12 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, stil
         arrived = lambda c: damping * F.coalesce(c, F.lit(0.0))
         new = seeds.join(got, "host", "left").select("host", (own("trusted") + arrived("t")).alias("trust"), (own("distrusted") + arrived("d")).alias("distrust"))
         moved = lambda c, old: F.abs(F.col(c) - F.col(old)) > still * F.col(c)
-        before = ranks.withColumnsRenamed({"trust": "t0", "distrust": "d0"})
-        new = materialise(new.join(before, "host").withColumn("moved", moved("trust", "t0") | moved("distrust", "d0")).drop("t0", "d0"), "ranks")
-        moving = not new.filter("moved").isEmpty()
-        ranks = new.drop("moved")
+        before = ranks.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+        with temporary() as round_:
+            new = materialise(new.join(before, "host").withColumn("moved", moved("trust", "t0") | moved("distrust", "d0")).drop("t0", "d0"), "ranks")
+            round_.keep(new)
+        made.discard(ranks)
+        moving, ranks = not new.filter("moved").isEmpty(), new
     return ranks
 
 
