@@ -322,6 +322,35 @@ def test_bloom_filters_and_sorting_let_files_be_skipped(spark):
     assert table.scan(C2 == "17").count() == 1 and table.scan(C2 == "nothing").count() == 0
 
 
+def rows_read(df):
+    """Rows that the scan of a query gave, after files' statistics and filters had their say."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_indexes_go_to_every_window_and_skip(spark):
+    rows = spark.range(3000).selectExpr("timestamp_ntz'2024-01-01 12:00' + make_dt_interval(0, id % 3) as col1", "cast(id * 7919 % 9001 as string) as col2")
+    plain, indexed = make(spark), make(spark)
+    indexed.create_index("by_text", "col2")
+    for table in (plain, indexed):
+        table.append(rows)
+    held = {r["col2"] for r in rows.collect()}
+    absent = next(str(n) for n in range(1000, 9000) if str(n) not in held)  # between the least and the greatest, so only the filters tell
+    assert rows_read(plain.scan(C2 == absent)) > 0 and rows_read(indexed.scan(C2 == absent)) < rows_read(plain.scan(C2 == absent)) / 2
+    assert indexed.scan(C2 == "7919").count() == plain.scan(C2 == "7919").count() == 1
+    late = spark.createDataFrame([("2024-02-01 10:00", t) for t in ("a", "c", "e")], "col1 string, col2 string")
+    indexed.append(late)  # a window made after the index has it, too
+    assert rows_read(indexed.scan(C2 == "b")) == 0
+    plain.create_index("later", "col2", "col1")
+    assert rows_read(plain.scan(C2 == absent)) > 0  # files already written stay as they are
+    assert [tuple(r) for r in PartitionedTable.load(spark, plain.path).indexes().collect()] == [("later", "col2, col1")]
+    for bad in (lambda: plain.create_index("later", "col2"), lambda: plain.create_index("x", "none"), lambda: plain.drop_index("none")):
+        with pytest.raises(TableError):
+            bad()
+    plain.drop_index("later")
+    assert plain.indexes().count() == 0
+
+
 def test_a_companion_drives_its_own_scans(spark):
     class Longest(Companion):
         def drives_scan(self, column):

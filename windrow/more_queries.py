@@ -113,6 +113,23 @@ def text_compat(spark, sf_dir):
     return table.scan((field("col1") == "2024-01-01 12:00") | (field("col1") > "2024-01-01 12:15")).select("col2")
 
 
+@query("select event_id, ts from events where user_id = 11 and event_type = 'view'")
+def index_by_sql(spark, sf_dir):
+    db = session(spark, sf_dir)
+    db.sql("create index by_user on ev (user_id, event_type)")
+    db.sql("update ev set value = value + 0")  # writes all windows anew, with the index
+    return db.sql("select event_id, ts from ev where user_id = 11 and event_type = 'view'")
+
+
+@query(values("name, columns", ("by_user", "user_id, event_type")))
+def index_names(spark, sf_dir):
+    db = session(spark, sf_dir)
+    db.sql("create index gone on ev (props)")
+    db.sql("create index by_user on ev (user_id, event_type)")
+    db.sql("drop index gone on ev")
+    return db.sql("select name, columns from ev_indexes")
+
+
 # Errors
 
 ERRORS = (

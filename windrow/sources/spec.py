@@ -28,12 +28,21 @@ class CompanionDecl:
     args: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class IndexDecl:
+    """A named secondary index on one or more columns."""
+
+    name: str
+    columns: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class TableSpec:
-    """A table's windows, columns, lifetime and companions.
+    """A table's windows, columns, lifetime, companions and indexes.
 
-    ``sort_within`` (columns that rows are sorted by inside a file, after the partition column) and ``bloom`` (columns
-    with Bloom filters) stand for secondary indexes; changing them affects files written from then on.
+    An index is a layout of the files: every column of an index gets a Bloom filter, and rows are sorted inside a file,
+    after the partition column, by the columns of the indexes in order. ``sort_within`` and ``bloom`` ask for either on
+    its own. Every window's files have the layout that holds when they are written; compaction writes them anew.
     """
 
     interval: int
@@ -44,6 +53,16 @@ class TableSpec:
     bloom: tuple[str, ...] = ()
     batch_size: int = 1000
     text_compat: bool = field(default=False)
+    indexes: tuple[IndexDecl, ...] = ()
+
+    @property
+    def sorted_by(self) -> tuple[str, ...]:
+        every = (*self.sort_within, *(c for i in self.indexes for c in i.columns))
+        return tuple(c for c in dict.fromkeys(every) if c != self.partition_column)
+
+    @property
+    def bloomed(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys((*self.bloom, *(c for i in self.indexes for c in i.columns if c != self.partition_column))))
 
     def __post_init__(self):
         self.partition_column  # noqa: B018  raises where there is none
@@ -52,6 +71,11 @@ class TableSpec:
             raise ColumnDeclarationError("columns must have different names")
         if len({c.name for c in self.companions}) != len(self.companions):
             raise CompanionError("companions must have different names")
+        if len({i.name for i in self.indexes}) != len(self.indexes):
+            raise ColumnDeclarationError("indexes must have different names")
+        if unknown := {c for i in self.indexes for c in i.columns} | set(self.sort_within) | set(self.bloom):
+            if unknown := unknown - {c.name for c in self.columns}:
+                raise ColumnDeclarationError(f"an index on columns that aren't there: {', '.join(sorted(unknown))}")
 
     @property
     def partition_column(self) -> str:
@@ -83,7 +107,7 @@ class TableSpec:
     def from_json(data: dict) -> TableSpec:
         columns = tuple(ColumnSpec(**c) for c in data["columns"])
         companions = tuple(CompanionDecl(c["name"], c["module"], tuple(c["args"])) for c in data["companions"])
-        return TableSpec(**data | {"columns": columns, "companions": companions, "sort_within": tuple(data["sort_within"]), "bloom": tuple(data["bloom"])})
+        return TableSpec(**data | {"columns": columns, "companions": companions, "sort_within": tuple(data["sort_within"]), "bloom": tuple(data["bloom"]), "indexes": tuple(IndexDecl(i["name"], tuple(i["columns"])) for i in data["indexes"])})
 
 
 def parse_column(text: str) -> ColumnSpec:

@@ -24,7 +24,7 @@ from ..operators.companions import Companion, make_companion
 from ..plans.bounds import Bounds, Span
 from ..plans.predicates import Predicate, wrap
 from .manifest import Files, Manifest, commit, load
-from .spec import TableSpec, parse_spec
+from .spec import IndexDecl, TableSpec, parse_spec
 
 WINDOW, SEGMENT = "_p", "_v"
 #: Seconds that folders stay after they are struck from the manifest; times that a change is put on a newer manifest.
@@ -109,6 +109,21 @@ class PartitionedTable:
             raise TableError(f"not an option of the layout: {', '.join(sorted(unknown))}")
         self._change(self.manifest, lambda m: replace(m, spec=replace(m.spec, **options)))
 
+    def create_index(self, name: str, *columns: str) -> None:
+        """A named index on columns, for the files of all windows written from now on."""
+        if any(i.name == name for i in self.spec.indexes):
+            raise TableError(f"there is an index {name}")
+        self._change(self.manifest, lambda m: replace(m, spec=replace(m.spec, indexes=(*m.spec.indexes, IndexDecl(name, columns)))))
+
+    def drop_index(self, name: str) -> None:
+        if all(i.name != name for i in self.manifest.spec.indexes):
+            raise TableError(f"no index {name}")
+        self._change(self.manifest, lambda m: replace(m, spec=replace(m.spec, indexes=tuple(i for i in m.spec.indexes if i.name != name))))
+
+    def indexes(self) -> DataFrame:
+        """name, columns of the indexes."""
+        return self.spark.createDataFrame([(i.name, ", ".join(i.columns)) for i in self.manifest.spec.indexes], "name string, columns string")
+
     # Writing
 
     def _change(self, base: Manifest, change: Callable[[Manifest], Manifest], rewritten: Iterable[int] = (), segment: int | None = None, sweep: bool = True) -> None:
@@ -191,9 +206,9 @@ class PartitionedTable:
         segment = time.time_ns()
         spec = self.spec
         # Rebalancing by window keeps a window's rows together, and splits a window that is too large for one file.
-        laid = rows.hint("rebalance", WINDOW).sortWithinPartitions(WINDOW, spec.partition_column, *spec.sort_within)
+        laid = rows.hint("rebalance", WINDOW).sortWithinPartitions(WINDOW, spec.partition_column, *spec.sorted_by)
         writer = laid.write.partitionBy(WINDOW)
-        for column in spec.bloom:
+        for column in spec.bloomed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         folder = f"{self.path}/data/{SEGMENT}={segment}"
         try:
