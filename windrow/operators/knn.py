@@ -15,6 +15,8 @@ from ..errors import WhereClauseError
 METRICS = ("l2", "l1", "cosine")
 #: Components up to which a distance is written out, which Spark compiles; longer vectors are folded over.
 WRITTEN_OUT = 128
+#: The name under which a search holds the vectors.
+OWN = "_windrow_vector"
 
 
 def as_vector(value: Iterable[float] | str) -> list[float]:
@@ -71,7 +73,7 @@ def nearest(rows: DataFrame, column: str, query: Iterable[float] | str, k: int,
     vector = F.from_json(column, "array<double>") if isinstance(rows.schema[column].dataType, T.StringType) else F.col(column)
     fitting = rows.filter(F.size(vector) == len(query))
     if len(query) <= WRITTEN_OUT and metric in METRICS:
-        fitting = fitting.withColumn("_vector", vector).withColumn("distance", written_out("_vector", query, metric)).drop("_vector")
+        fitting = fitting.withColumn(OWN, vector).withColumn("distance", written_out(OWN, query, metric)).drop(OWN)
     else:
         fitting = fitting.withColumn("distance", distance(vector, query, metric))
     return fitting.orderBy(F.asc_nulls_last("distance"), *ties).limit(k).filter(F.col("distance").isNotNull())
