@@ -117,13 +117,13 @@ def test_drop(db):
 
 def test_search(db):
     db.sql("CREATE VIRTUAL TABLE v USING windrow(1 hour, ts timestamp partition_column, emb text, kind text, companion vec USING vec0(emb float[4]))")
-    db.sql("INSERT INTO v VALUES ('2024-01-01 10:00', '[1,0,0,0]', 'a'), ('2024-01-01 10:30', '[0.9,0.1,0,0]', 'b'), ('2024-01-01 11:00', '[0,0,1,0]', 'c')")
-    rows = db.sql("SELECT kind, distance FROM v WHERE emb MATCH '[1,0,0,0]' AND k = 3 ORDER BY distance").collect()
-    assert [r["kind"] for r in rows] == ["a", "b", "c"] and rows[0]["distance"] == 0
-    assert kinds(db.sql("SELECT kind FROM v WHERE emb MATCH '[1,0,0,0]' AND k = 3 AND ts >= '2024-01-01 10:15' AND ts < '2024-01-01 11:00'")) == ["b"]
-    assert kinds(db.sql("SELECT kind FROM v WHERE emb MATCH '[0,0,1,0]' AND k = 1 AND ts < '2024-01-01 11:00'")) == ["b"]
+    db.sql("INSERT INTO v VALUES ('2024-03-05 08:00', '[2,1,0,0]', 'north'), ('2024-03-05 08:40', '[2,1.5,0,0]', 'east'), ('2024-03-05 09:00', '[0,0,3,1]', 'south')")
+    rows = db.sql("SELECT kind, distance FROM v WHERE emb MATCH '[2,1,0,0]' AND k = 3 ORDER BY distance").collect()
+    assert [r["kind"] for r in rows] == ["north", "east", "south"] and rows[0]["distance"] == 0
+    assert kinds(db.sql("SELECT kind FROM v WHERE emb MATCH '[2,1,0,0]' AND k = 3 AND ts >= '2024-03-05 08:20' AND ts < '2024-03-05 09:00'")) == ["east"]
+    assert kinds(db.sql("SELECT kind FROM v WHERE emb MATCH '[0,0,3,1]' AND k = 1 AND ts < '2024-03-05 09:00'")) == ["east"]
     for bad, error in (
-        ("SELECT kind FROM v WHERE emb MATCH '[1,0,0,0]'", CompanionError), ("SELECT kind FROM v WHERE emb MATCH '[1,0,0,0]' AND k = 0", CompanionError),
+        ("SELECT kind FROM v WHERE emb MATCH '[2,1,0,0]'", CompanionError), ("SELECT kind FROM v WHERE emb MATCH '[2,1,0,0]' AND k = 0", CompanionError),
         ("SELECT kind FROM t WHERE kind MATCH '[1]' AND k = 1", MatchRequiresCompanion), ("SELECT kind FROM v WHERE emb MATCH '[1]' AND emb MATCH '[2]' AND k = 1", CompanionError),
     ):
         with pytest.raises(error):

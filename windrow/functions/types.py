@@ -29,7 +29,7 @@ def parse_type(name: str) -> T.DataType:
     try:
         return TYPES[name.strip().upper()]
     except KeyError:
-        raise ParseValueTypeError(f"cannot parse input type {name!r}") from None
+        raise ParseValueTypeError(f"unknown column type {name!r}; known are {', '.join(TYPES)}") from None
 
 
 def type_name(kind: T.DataType) -> str:

@@ -13,7 +13,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     context = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not top:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(top := "file://" + tempfile.mkdtemp(prefix="windrow-"))
     path = f"{top.rstrip('/')}/windrow/{uuid.uuid4().hex}/{name}"
