@@ -175,11 +175,13 @@ class _Classes:
     def listed(self) -> DataFrame:
         """(v, c, n, f): the inverted lists of each class's rarest values; f classes retain v, at least two."""
         retained = self.table.select("c", F.col("n"), F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-        often = materialise(retained.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "often")
-        by_class = Window.partitionBy("c")
-        rank = F.row_number().over(by_class.orderBy("f", "v")) + F.col("s") - F.count(F.lit(1)).over(by_class)
-        rarest = F.col("s") - F.ceil(F.lit(OVERLAP) * F.col("s")) + 1
-        return materialise(retained.join(often, "v").withColumn("rank", rank).filter(F.col("rank") <= rarest).select("v", "c", "n", "f"), "listed")
+        with temporary() as made:
+            often = materialise(retained.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "often")
+            by_class = Window.partitionBy("c")
+            rank = F.row_number().over(by_class.orderBy("f", "v")) + F.col("s") - F.count(F.lit(1)).over(by_class)
+            rarest = F.col("s") - F.ceil(F.lit(OVERLAP) * F.col("s")) + 1
+            made.keep(out := materialise(retained.join(often, "v").withColumn("rank", rank).filter(F.col("rank") <= rarest).select("v", "c", "n", "f"), "listed"))
+        return out
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         side = lambda k: self.table.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
@@ -307,10 +309,12 @@ def _long_list_links(crowd: _Crowd, links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame) -> tuple[_Classes, DataFrame]:
     """The classes of ``docs`` and (node, root): the component of every class that has a link."""
     classes = _Classes(docs)
-    listed = classes.listed()
-    short = materialise(_short_list_pairs(listed.withColumn("short", F.lit(True))), "pairs")
-    estimated = materialise(classes.estimated(short), "estimated")
-    crowded = materialise(listed.filter(F.col("f") > LIST).select("c").distinct(), "crowded")
+    with temporary() as made:
+        listed = classes.listed()
+        short = materialise(_short_list_pairs(listed.withColumn("short", F.lit(True))), "pairs")
+        estimated = materialise(classes.estimated(short), "estimated")
+        crowded = materialise(listed.filter(F.col("f") > LIST).select("c").distinct(), "crowded")
+        made.keep(estimated, crowded)
     ends = estimated.select(F.explode(F.array("a", "b")).alias("c")).unionAll(crowded).distinct()
     texts = classes.texts(ends)
     links = _verified(estimated, texts)
