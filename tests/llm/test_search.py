@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from windrow.llm import ann
 from windrow.llm.ann import BLOCK_ROWS, Forest, nearest
 from windrow.llm.common import table
 from windrow.llm.url_filter import RULES, judge, propagate
@@ -166,3 +167,17 @@ def test_ranks_reach_hosts_that_are_far_away(spark):
     links = spark.createDataFrame([(a, b, 1) for a, b in zip(names, names[1:])], "source string, target string, pages long")
     got = {r["host"]: r["distrust"] for r in propagate(hosts, links).collect()}
     assert all(got[h] == pytest.approx(0.15 * 0.85 ** (30 - i), rel=1e-6) for i, h in enumerate(names))
+
+
+def test_long_vectors_come_in_smaller_blocks(spark, monkeypatch):
+    """What a task holds is bounded by components, too; rows in many blocks and queries in many parts are found all the same."""
+    monkeypatch.setattr(ann, "BLOCK_NUMBERS", 64 * 128)
+    draw = np.random.default_rng(5)
+    x = draw.standard_normal((1500, 64))
+    rows = [(i, v) for i, v in enumerate(x)]
+    found: dict[int, list] = {}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    for r in nearest(frame, every=5).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = sum(len(set(found[q]) & {i for _, i in near}) for q, near in brute(rows, every=5))
+    assert len(found) == 300 and all(len(f) == 5 for f in found.values()) and hits >= 0.9 * 1500

@@ -31,9 +31,9 @@ from .common import lean, materialise
 TREES, BITS, SEED, MISS = 80, 32, 7, 0.05
 #: Rows that queries are first held against, and their components together, at most.
 SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 21
-#: Rows and queries that one task holds. Smaller tables are dealt into up to SPREAD blocks, so that there is work for
-#: as many tasks; what is found depends on MISS, not on the blocks.
-BLOCK_ROWS, BLOCK_QUERIES, LEAST_ROWS, SPREAD = 65_536, 65_536, 1024, 24
+#: Rows and queries that one task holds, and the components of either together. Smaller tables are dealt into up to
+#: SPREAD blocks, so that there is work for as many tasks; what is found depends on MISS, not on the blocks.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCK_NUMBERS, LEAST_ROWS, SPREAD = 65_536, 65_536, 1 << 22, 1024, 24
 #: Marks (queries times rows) and stretches' entries that are held at once.
 MARKS, ENTRIES = 1 << 24, 1 << 22
 #: Bits above the last level at which the k-th best is looked at first.
@@ -228,8 +228,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     double = F.col("vector").cast("array<double>").alias("vector")
     sample = valid.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(max(k + 1, min(SAMPLE, SAMPLE_NUMBERS // (longest or 1)))).select("vec_id", double, "length").toArrow()
     queries = materialise(_bounded(valid.filter(F.col("vec_id") % every == 0).select("vec_id", double, "length"), sample, k), "queries")
-    blocks = max(-(-count // BLOCK_ROWS), min(SPREAD, -(-count // LEAST_ROWS)), 1)
-    parts = max(-(-count // every // BLOCK_QUERIES), 1)
+    held = max(BLOCK_NUMBERS // (longest or 1), 1)  # vectors of the longest kind
+    blocks = max(-(-count // min(BLOCK_ROWS, held)), min(SPREAD, -(-count // LEAST_ROWS)), 1)
+    parts = max(-(-count // every // min(BLOCK_QUERIES, held)), 1)
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kind = valid.schema["vector"].dataType
