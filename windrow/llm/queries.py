@@ -165,12 +165,21 @@ ORACLE = {
             SELECT p.*, least(coalesce(seats, 0) * {BLOCK}, 2 * words)::BIGINT AS quota,
                    ('0x' || substr(md5(concat_ws(':', '{SEED}', n, shard)), 1, 8))::BIGINT % greatest(1, (words + {BLOCK - 1}) // {BLOCK}) * {BLOCK} AS start
             FROM pieces p LEFT JOIN won USING (key, shard)),
+        rooms AS (
+            SELECT *, 2 * words - quota AS room, sum(2 * words - quota) OVER (PARTITION BY key) AS rooms,
+                   sum(2 * words - quota) OVER (PARTITION BY key ORDER BY shard ROWS UNBOUNDED PRECEDING) AS filled,
+                   (blocks * {BLOCK} - sum(quota) OVER (PARTITION BY key)) // {BLOCK} * {BLOCK} AS missing
+            FROM quotas),
+        dealt AS (
+            SELECT * REPLACE ((quota + CASE WHEN least(missing, rooms) > 0 THEN least(missing, rooms) * filled // rooms
+                - least(missing, rooms) * (filled - room) // rooms ELSE 0 END)::BIGINT AS quota)
+            FROM rooms),
         lines AS (
             SELECT *, sum(size) OVER (PARTITION BY key, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM placed),
         laid AS (
             SELECT doc_id, size, source_size, target, upto - size AS a, upto AS b, words, start,
                    CASE WHEN words > 0 THEN quota // words ELSE 0 END AS turns, CASE WHEN words > 0 THEN start + quota % words ELSE 0 END AS last
-            FROM lines JOIN quotas USING (key, shard))
+            FROM lines JOIN dealt USING (key, shard))
         SELECT doc_id, size, source_size, target,
                (turns * size + greatest(0, least(b, last) - greatest(a, start)) + greatest(0, least(b, last - words) - a))::BIGINT AS taken
         FROM laid""",
