@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
-from windrow.llm import language_id, pii, toxicity
+from windrow.llm import language_id, mixing, pii, toxicity
 from windrow.llm.common import table
 from windrow.llm.mixing import TURNS, apportion, mix, mix_rows
 from windrow.llm.queries import MODEL
@@ -251,6 +252,47 @@ def test_mix_rows(spark, sf):
     assert abs(words - 1.5 * whole) < 0.1 * whole
 
 
+def test_mix_rows_takes_the_blocks_of_sainte_lague(spark):
+    """What every document is taken follows from a plain version of the blocks, the shards' quotas and their rings."""
+    draw = random.Random(11)
+    sized = [(s, f"={s}", draw.randint(40, 260), draw.getrandbits(60), 1) for s, n in (("a", 2500), ("b", 1000), ("c", 500)) for _ in range(n)]
+    found = mixing._copies(spark.createDataFrame(sized, "source string, key string, size long, mark long, rows long"))
+    copies = {r["mark"]: r["copies"] for r in found.collect()}
+    name = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+    def dealt(claims, seats):
+        won, line = Counter(), [(-c, i) for i, c in claims.items()]
+        heapq.heapify(line)
+        for _ in range(seats):
+            i = line[0][1]
+            won[i] += 1
+            heapq.heapreplace(line, (-claims[i] / (2 * won[i] + 1), i))
+        return won
+
+    whole, pieces = Counter(), {}
+    for s, _, n, _, _ in sized:
+        whole[s] += n
+    shards, targets = -(-sum(whole.values()) // mixing.SHARD_WORDS), brute_targets(whole)
+    for s, _, n, mark, _ in sized:
+        pieces.setdefault((s, name(f"{mixing.SEED}s{mark}") % shards), []).append((name(f"{mixing.SEED}o{mark}"), mark, n))
+    blocks = dealt(targets, round(sum(targets.values()) / mixing.BLOCK))
+    assert shards > 3 and len(pieces) == 3 * shards
+    for place, s in enumerate("abc", 1):
+        words = {shard: sum(n for _, _, n in docs) for (t, shard), docs in pieces.items() if t == s}
+        got = 0
+        for shard, seats in dealt(words, blocks[s]).items():
+            quota, size = seats * mixing.BLOCK, words[shard]
+            start = name(f"{mixing.SEED}:{place}:{shard}") % -(-size // mixing.BLOCK) * mixing.BLOCK
+            last, at, cut = start + quota % size, 0, 0
+            assert quota < 2 * size
+            for _, mark, n in sorted(pieces[s, shard]):
+                taken = quota // size * n + max(0, min(at + n, last) - max(at, start)) + max(0, min(at + n, last - size) - at)
+                assert copies.get(mark, 0) in (taken // n, -(-taken // n)), (s, shard, taken, n)
+                got, at, cut = got + n * copies.get(mark, 0), at + n, cut + (taken % n > 0)
+            assert cut <= 2
+        assert abs(got - targets[s]) <= 260 + 2 * mixing.BLOCK
+
+
 def test_mix_of_many_small_pieces(spark):
     """A source that stands at twice its words, in 2000 pieces of a few words: none of it is lost."""
     draw = random.Random(9)

@@ -10,6 +10,9 @@ taken a third time before all are taken twice, and no table of all blocks is nee
 
 All tables but the first two are per source or per (source, shard); the documents are dealt out once, by
 (source, shard), so that a source with a third of all rows is spread over all shards.
+
+Where the mix is wanted as rows, the blocks are dealt and laid in the same way, and the few documents that an end of
+their shard's blocks cuts are taken whole or not, by what they have of the blocks, carried along their source.
 """
 
 from __future__ import annotations
@@ -23,15 +26,15 @@ from .common import WORD, bounded_broadcast, materialise
 BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = 32, 131_072, 8192, 20240101
 #: Weights of the sources in order, repeating; the share of all words that the mix takes; turns at most.
 WEIGHTS, SHARE, TURNS = (5, 2, 1), 1.5, 2
-#: Classes of size per doubling and documents in a piece, where whole documents are taken.
-CLASSES, PIECE = 16, 256
+#: Blocks that a corpus has at least where whole documents are taken; a small one has blocks of fewer words. Bits of a part of a document.
+LEAST_BLOCKS, BITS = 10_000, 30
 #: Rows of (document, copies) that may be broadcast (about 40 bytes each); more of them join by shuffle.
 BROADCAST = 500_000
 
 
-def hash32(salt: str):
-    """32 bits of md5 over the seed, a salt and doc_id, as a long: a hash that any SQL engine can repeat."""
-    text = F.concat(F.lit(f"{SEED}{salt}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def hash32(salt: str, of: str = "doc_id"):
+    """32 bits of md5 over the seed, a salt and a column, as a long: a hash that any SQL engine can repeat."""
+    text = F.concat(F.lit(f"{SEED}{salt}"), F.coalesce(F.col(of).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -123,24 +126,21 @@ def _size():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, and the source's key.
+def _words(sized: DataFrame) -> int:
+    return sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number
 
-    size is the number of words (null text: 0); sources stand in code-point order, null last and a source like
-    any other. A document is taken whole at most TURNS times. Rows that repeat a doc_id stay separate documents; a
-    null doc_id is one like any other. Everything follows from the rows alone, so reruns agree. Texts are counted
-    whole; a table without rows gives none. Other columns of ``docs`` are not read, whatever their names.
+
+def _laid(sized: DataFrame, of: str, block: int, shard_words: int) -> DataFrame:
+    """``sized`` (source, key, size and a column ``of`` that tells documents apart) with source_size, target and taken.
+
+    The blocks are dealt to the sources and their shards and laid on the shards' rings; taken is what they hold of a document.
     """
-    sized = materialise(
-        docs.select("doc_id", "source", source_key().alias("key"), _size()),
-        "sizes",
-    )
-    words = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number
+    words = _words(sized)
     shards = max(1, min(MOST_SHARDS, -(-words // shard_words)))
     targets = materialise(source_targets(sized), "targets")
     blocks = targets.withColumn("_blocks", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     quotas = apportion(blocks, [], "target", "_blocks", "place", "blocks").select("key", "source_size", "place", "target", "blocks")
-    placed = sized.withColumn("shard", hash32("s") % shards)
+    placed = sized.withColumn("shard", hash32("s", of) % shards)
     pieces = placed.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(quotas, "key")
     pieces = apportion(pieces, ["place"], "words", "blocks", "shard", "quota").withColumn("quota", F.least(F.col("quota") * block, TURNS * F.col("words")))
     pieces = materialise(
@@ -152,8 +152,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) ->
         .select("key", "shard", "source_size", "target", "words", "turns", "rest", "start"),
         "pieces",
     )
-    line = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = placed.withColumn("order", hash32("o")).withColumn("_end", F.sum("size").over(line)).withColumn("_begin", F.col("_end") - F.col("size"))
+    line = Window.partitionBy("key", "shard").orderBy("order", of, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = placed.withColumn("order", hash32("o", of)).withColumn("_end", F.sum("size").over(line)).withColumn("_begin", F.col("_end") - F.col("size"))
     joined = laid.join(pieces, ["key", "shard"])
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(F.col("_end"), b) - F.greatest(F.col("_begin"), a))
     last = F.col("start") + F.col("rest")
@@ -162,42 +162,51 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) ->
         + overlap(F.col("start"), last)
         + F.when(last > F.col("words"), overlap(F.lit(0), last - F.col("words"))).otherwise(0)
     )
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
+    return joined.withColumn("taken", taken.cast("long"))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, and the source's key.
+
+    size is the number of words (null text: 0); sources stand in code-point order, null last and a source like
+    any other. A document is taken whole at most TURNS times. Rows that repeat a doc_id stay separate documents; a
+    null doc_id is one like any other. Everything follows from the rows alone, so reruns agree. Texts are counted
+    whole; a table without rows gives none. Other columns of ``docs`` are not read, whatever their names.
+    """
+    sized = materialise(
+        docs.select("doc_id", "source", source_key().alias("key"), _size()),
+        "sizes",
+    )
+    return _laid(sized, "doc_id", block, shard_words).select("doc_id", "size", "source_size", "target", "taken", "key")
 
 
 def _copies(sized: DataFrame) -> DataFrame:
     """(key, size, mark, rows, copies) of ``sized`` (source, key, size, mark, rows): whole documents to meet the targets.
 
-    A source's ratio of target to size is carried along its documents, those of like size together, in a seeded
-    order; a document's copies are the whole numbers that it passes. So a source's copies differ from the ratio by
-    less than one at every point of the order, and their words from the target by about its longest document at most.
-    Positions are counted in two steps, over pieces of PIECE documents and within them.
+    Equal rows are one stretch of their shard's ring. What the blocks hold of it makes whole copies but for a rest, at
+    most at the two ends of the shard's blocks. The rests are carried along each source, from the shortest cut document
+    to the longest, from a seeded begin; a document whose rest passes a whole number is taken once more. So what the
+    rounding adds or takes is no more words than the source's longest cut document has, however many shards there are.
     """
-    targets = materialise(source_targets(sized.withColumn("size", F.col("size") * F.col("rows"))), "targets")
-    classed = sized.filter("size > 0").withColumn("class", F.floor(F.log2("size") * CLASSES).cast("int"))
-    classes = classed.groupBy("key", "class").agg(F.least(F.lit(MOST_SHARDS), F.ceil(F.count(F.lit(1)) / PIECE)).cast("long").alias("pieces"))
-    classes = materialise(classes, "classes")
-    placed = classed.join(bounded_broadcast(classes, classes.count(), BROADCAST), ["key", "class"]).withColumn("piece", F.pmod("mark", "pieces"))
-    before = Window.partitionBy("key").orderBy("class", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}c"), F.col("key"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    pieces = (
-        placed.groupBy("key", "class", "piece")
-        .agg(F.sum("rows").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(targets.select("key", (F.col("target") / F.col("source_size")).alias("ratio"), begin.alias("begin")), "key")
-        .drop("n")
-    )
-    pieces = materialise(pieces, "pieces")
-    line = Window.partitionBy("key", "class", "piece").orderBy("size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = lambda n: F.floor(F.col("begin") + F.col("ratio") * (F.col("before") + n))
-    laid = placed.withColumn("upto", F.sum("rows").over(line)).join(pieces, ["key", "class", "piece"])
-    return laid.select("key", "size", "mark", "rows", (passed(F.col("upto")) - passed(F.col("upto") - F.col("rows"))).cast("int").alias("copies"))
+    wide = sized.withColumnRenamed("size", "each").withColumn("size", F.col("each") * F.col("rows"))
+    block = max(1, min(BLOCK, _words(wide) // LEAST_BLOCKS))
+    taken = _laid(wide, "mark", block, SHARD_WORDS).filter("taken > 0").select("key", F.col("each").alias("size"), "mark", "rows", "taken")
+    taken = materialise(taken, "taken")
+    line = Window.partitionBy("key").orderBy("size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = F.expr(f"shiftleft(taken % size, {BITS}) div size")
+    begin = hash32("c", "key") % (1 << BITS)
+    upto = begin + F.sum("part").over(line)
+    cut = taken.filter("taken % size > 0").withColumn("part", part).withColumn("upto", upto)
+    more = F.shiftright("upto", BITS) - F.shiftright(F.col("upto") - F.col("part"), BITS)
+    both = cut.withColumn("more", more).drop("part", "upto").unionByName(taken.filter("taken % size = 0").withColumn("more", F.lit(0).cast("long")))
+    return both.select("key", "size", "mark", "rows", (F.expr("taken div size") + F.col("more")).cast("int").alias("copies"))
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``, all columns: every document 0, 1 or 2 times, so that each source meets its target.
 
-    Documents without words, null texts among them, are left out. Rows that agree in all columns are told apart by
+    The blocks are those of ``mix``, Sainte-Lague's, laid on the shards' rings; a document that they cut is taken whole or
+    not. Documents without words, null texts among them, are left out. Rows that agree in all columns are told apart by
     nothing, so one of them stands for all; columns of kinds that have no hash are not compared. Columns of any name
     stay as they are; a table without rows gives none.
     """
