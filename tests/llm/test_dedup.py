@@ -215,6 +215,21 @@ def test_without_broadcasts(spark, sf, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_small_graphs_are_written_by_few_tasks(spark):
+    """However many shuffle partitions there are, a few links don't become a file for each of them."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components(spark.range(900).selectExpr("id + 1 as u", "id - id % 3 as v"))
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {r["root"] for r in found.collect()} == {0} and found.count() == 901
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_tables_written_on_the_way_are_deleted(spark, sf):
     from pathlib import Path
 

@@ -142,6 +142,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows that a task writes at least, where a bound on a table's rows is known.
+TASK_ROWS = 20_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has at most so many rows, in no more tasks than they need, for writing.
+
+    For every file that it makes in a folder of the ``file`` scheme Hadoop starts three processes, which the executor's
+    JVM gives birth to; hundreds of tables of a few rows in hundreds of files each are a load of their own. No task gets
+    more work than TASK_ROWS rows on average, and all cores stay in use.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def normal_text(col: str = "text"):
     """The text with every run of ASCII white space as one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), SPACE, " ")

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, temporary
+from .common import few_tasks, materialise, temporary
 
 
-def _towards_least(links: DataFrame, both_ways: bool) -> DataFrame:
-    """One star step over links (u, v) with u > v: larger neighbours, or a node and its smaller ones, move to its least neighbour."""
+def _towards_least(links: DataFrame, both_ways: bool, rows: int) -> DataFrame:
+    """One star step over links (u, v) with u > v: larger neighbours, or a node and its smaller ones, move to its least neighbour.
+
+    The least neighbours, and what it gives, are at most ``rows`` rows: twice the links."""
     sides = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else links
     # Written first, so that Spark can split what a node with very many links makes one task of the join.
-    least = materialise(sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    least = materialise(few_tasks(sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), rows), "least")
     joined = sides.join(least, "u")
     if both_ways:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionAll(joined.select("u", F.col("m").alias("v")))
-    return moved.distinct()
+    return few_tasks(moved.distinct(), rows)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,8 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         while seen[0]:
             before = now
             with temporary() as round_:
-                large = materialise(_towards_least(before, True), "large")
-                round_.keep(now := materialise(_towards_least(large, False), "small"))
+                large = materialise(_towards_least(before, True, 2 * seen[0]), "large")
+                round_.keep(now := materialise(_towards_least(large, False, 2 * seen[0]), "small"))
             whole.discard(before)
             if (new := mark(now)) == seen:
                 break

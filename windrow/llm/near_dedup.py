@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, lean, materialise, temporary
+from .common import bounded_broadcast, few_tasks, lean, materialise, temporary
 from .components import components
 from .hashing import Spans, groups, joined, mixed, runs
 
@@ -254,13 +254,13 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
-def _leaders(lists: DataFrame, round_: int) -> DataFrame:
+def _leaders(lists: DataFrame, round_: int, rows: int) -> DataFrame:
     """(v, d): each list's most typical member outside the components of its earlier leaders."""
     earlier = F.lit(True)
     for r in range(round_):
         earlier = earlier & (F.col("root") != F.col(f"root{r}"))
     typical = F.struct((F.col("hot") / F.col("n")).alias("part"), F.negative("c").alias("c"))
-    return materialise(lists.filter(earlier).groupBy("v").agg(F.max(typical).alias("x")).select("v", F.negative("x.c").alias("d")), "leaders")
+    return materialise(few_tasks(lists.filter(earlier).groupBy("v").agg(F.max(typical).alias("x")).select("v", F.negative("x.c").alias("d")), rows), "leaders")
 
 
 def _long_list_links(crowd: _Crowd, links: DataFrame) -> DataFrame:
@@ -273,27 +273,29 @@ def _long_list_links(crowd: _Crowd, links: DataFrame) -> DataFrame:
     """
     roots = components(links.toDF("u", "v"))
     lists = crowd.postings.filter(F.col("f") > LIST).drop("f")
+    rows = lists.count()  # later ones are parts of them
     for round_ in range(ROUNDS):
         placed = _with_roots(lists, roots)
         for r in range(round_):
             placed = placed.join(roots.select(F.col("node").alias(f"d{r}"), F.col("root").alias(f"root{r}")), f"d{r}", "left").withColumn(f"root{r}", F.coalesce(f"root{r}", f"d{r}"))
-        placed = materialise(placed, "placed")
-        several = materialise(placed.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("v"), "several")
+        placed = materialise(few_tasks(placed, rows), "placed")
+        several = materialise(few_tasks(placed.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("v"), rows), "several")
         placed = placed.join(several, "v")
-        leaders = _leaders(placed, round_)
+        leaders = _leaders(placed, round_, rows)
         if leaders.isEmpty():
             lists = lists.join(several, "v")
             break
-        led = materialise(placed.join(leaders, "v"), "led")
-        facts = crowd.measured(materialise(led.filter("c <> d").select("c", "d").distinct(), "pairs"))
+        led = materialise(few_tasks(placed.join(leaders, "v"), rows), "led")
+        facts = crowd.measured(materialise(few_tasks(led.filter("c <> d").select("c", "d").distinct(), rows), "pairs"))
         found = facts.filter("linked").select(F.col("c").alias("u"), F.col("d").alias("v"))
         if not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found))
         own = led.drop("root", *(f"root{r}" for r in range(round_))).join(facts.drop("linked"), ["c", "d"], "left")
         common, other = F.coalesce("common", "n"), F.col("hot") - F.coalesce("inside", "hot")
-        lists = materialise(own.withColumn(f"common{round_}", common).withColumn(f"other{round_}", other).withColumnRenamed("d", f"d{round_}").drop("common", "inside"), "lists")
+        own = own.withColumn(f"common{round_}", common).withColumn(f"other{round_}", other).withColumnRenamed("d", f"d{round_}").drop("common", "inside")
+        lists = materialise(few_tasks(own, rows), "lists")
     measured = [c[6:] for c in lists.columns if c.startswith("common")]
-    placed = materialise(_with_roots(lists, roots), "placed")
+    placed = materialise(few_tasks(_with_roots(lists, roots), rows), "placed")
     renamed = {c: f"{c}_" for c in placed.columns if c != "v"}
     can = F.expr("root <> root_ and (n < n_ or (n = n_ and c < c_))") & _similar_sizes("n", "n_")
     for r in measured:
