@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 import windrow.more_queries  # noqa: F401  adds to the catalogue
+from windrow import queries
 from windrow.queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,6 +46,14 @@ def test_against_sql(spark, duck, sf, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name, tables", [("win_range", ["orders"])])
+def test_a_query_stores_the_tables_that_it_names(spark, sf, monkeypatch, name, tables):
+    monkeypatch.setattr(queries, "_databases", {})
+    QUERIES[name](spark, sf)
+    [db] = queries._databases.values()
+    assert sorted(f.name for f in Path(db.root.removeprefix("file:")).iterdir()) == tables
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["p", "row_count"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from .sources.overlay import Overlay
 from .sources.scratch import scratch
 from .sources.spec import TableSpec
 from .sources.table import PartitionedTable
-from .sql import Session
+from .sql import Session, blanked
 from .streaming import stream_into
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,21 +480,28 @@ _DATED = (("events", "ts", "1 day"), ("orders", "o_orderdate", "30 day"), ("line
 _databases: dict[tuple, Session] = {}
 
 
-def database(spark: SparkSession, sf_dir: str) -> Session:
-    """A session over stored tables that queries only read, and views of the tables without dates."""
+def database(spark: SparkSession, sf_dir: str, text: str) -> Session:
+    """A session over stored tables that queries only read, and views of the tables without dates.
+
+    A table is stored when a query first names it: a query pays for the tables that it reads, and for no others.
+    """
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _databases:
-        db = _databases[key] = Session(spark, scratch(spark, "database"))
-        for name, column, interval in _DATED:
+        _databases[key] = Session(spark, scratch(spark, "database"))
+    db, words = _databases[key], set(re.findall(r"\w+", blanked(text).lower()))
+    for name, column, interval in _DATED:
+        if name in words and name not in db.tables:
             df = read(spark, sf_dir, name)
-            PartitionedTable.create(spark, f"{db.root}/{name}", TableSpec.from_schema(df.schema, column, interval)).append(df)
+            table = PartitionedTable.create(spark, f"{db.root}/{name}", TableSpec.from_schema(df.schema, column, interval))
+            table.append(df)
+            db.tables[name] = table
     for name in ("customer", "nation", "supplier", "part"):
         read(spark, sf_dir, name).createOrReplaceTempView(name)
-    return _databases[key]
+    return db
 
 
 def sql(name: str, text: str, oracle: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: database(spark, sf_dir).sql(text)
+    QUERIES[name] = lambda spark, sf_dir: database(spark, sf_dir, text).sql(text)
     ORACLE[name] = oracle or text
 
 
