@@ -46,7 +46,7 @@ def test_against_sql(spark, duck, sf, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name, tables", [("win_range", ["orders"]), ("set_union_all", ["events"])])
+@pytest.mark.parametrize("name, tables", [("win_range", ["orders"]), ("set_union_all", ["events"]), ("agg_subquery", ["events"])])
 def test_a_query_stores_the_tables_that_it_names(spark, sf, monkeypatch, name, tables):
     monkeypatch.setattr(queries, "_databases", {})
     QUERIES[name](spark, sf)
