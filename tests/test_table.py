@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from windrow.errors import ColumnTypeMismatch, CommitConflict, CompanionError, MatchRequiresCompanion, PartitionColumnError, TableError, TimestampParseError, WhereClauseError
 from windrow.operators.companions import Companion, register_companion
 from windrow.plans.predicates import field
+from windrow.sources import table as storage
 from windrow.sources.manifest import Files, commit, load
 from windrow.sources.scratch import scratch
 from windrow.sources.table import PartitionedTable
@@ -582,3 +583,22 @@ def test_data_source_prunes_by_plain_sql(spark):
     assert sorted(r["col2"] for r in early.collect()) == ["a", "c"]
     table.drop_partition(NOON)
     assert spark.read.format("windrow").load(table.path).filter("col1 < timestamp_ntz'2024-01-01 13:00:00'").count() == 0
+
+
+def test_a_large_window_is_written_by_several_tasks(spark, monkeypatch):
+    """What a task of a write sorts is bounded, whatever a window holds; the session's own setting stays."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    monkeypatch.setattr(storage, "TASK_BYTES", 100_000, raising=False)
+    rows = spark.range(40_000, numPartitions=4).select(F.lit("2024-01-01 12:15").alias("col1"), F.sha2(F.col("id").cast("string"), 256).alias("col2"))
+    for own in (None, "32m"):
+        if own:
+            spark.conf.set(name, own)
+        try:
+            table = PartitionedTable.create(spark, scratch(spark, "large"), HOURLY)
+            table.append(rows)
+            assert spark.conf.get(name, None) == own
+        finally:
+            spark.conf.unset(name)
+        files = [r["count"] for r in table.scan().groupBy(F.input_file_name()).count().collect()]
+        assert sum(files) == 40_000 and len(files) > 1 and max(files) < 40_000
+        assert table.scan().distinct().count() == 40_000

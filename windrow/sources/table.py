@@ -10,6 +10,7 @@ that no longer count stay for RETAIN seconds, so that DataFrames made before a c
 from __future__ import annotations
 
 import contextlib
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
@@ -31,6 +32,41 @@ WINDOW, SEGMENT = "_p", "_v"
 RETAIN, ATTEMPTS = 3600, 20
 #: Windows, and rows of a window, up to which an ordered scan sorts window by window; larger ones are sorted by a shuffle.
 ORDERED_WINDOWS, ORDERED_ROWS = 512, 4_000_000
+#: Bytes, as shuffled, that a task of a write sorts and writes. They are several times that in memory, and a task that
+#: gets more than it can hold writes its rows out once more (Spark's own bound is 64 MB).
+TASK_BYTES = 16 << 20
+
+_ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: For each session with writes under way: how many, and the setting that it had before them (None: none of its own).
+_writing: dict[int, tuple[int, str | None]] = {}
+_WRITING = threading.Lock()
+
+
+@contextlib.contextmanager
+def bounded_tasks(spark: SparkSession) -> Iterator[None]:
+    """Until the end of the block, tasks after a rebalancing get about TASK_BYTES each; a smaller setting of the session stays.
+
+    The setting is the whole session's: threads that write at once share the change, and the last one takes it back.
+    """
+    key = spark._jsparkSession.hashCode()
+    with _WRITING:
+        writers, before = _writing.get(key, (0, None))
+        if not writers:
+            before = spark.conf.get(_ADVISED, None)
+            if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_ADVISED)) > TASK_BYTES:
+                spark.conf.set(_ADVISED, str(TASK_BYTES))
+        _writing[key] = writers + 1, before
+    try:
+        yield
+    finally:
+        with _WRITING:
+            writers, before = _writing.pop(key)
+            if writers > 1:
+                _writing[key] = writers - 1, before
+            elif before is None:
+                spark.conf.unset(_ADVISED)
+            else:
+                spark.conf.set(_ADVISED, before)
 
 
 def checked(value, field: T.StructField):
@@ -205,14 +241,15 @@ class PartitionedTable:
         """Write routed rows as a new segment; its number and the rows of each window."""
         segment = time.time_ns()
         spec = self.spec
-        # Rebalancing by window keeps a window's rows together, and splits a window that is too large for one file.
+        # Rebalancing by window keeps a window's rows together, and splits a window that is too large for one task.
         laid = rows.hint("rebalance", WINDOW).sortWithinPartitions(WINDOW, spec.partition_column, *spec.sorted_by)
         writer = laid.write.partitionBy(WINDOW)
         for column in spec.bloomed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         folder = f"{self.path}/data/{SEGMENT}={segment}"
         try:
-            writer.parquet(folder)
+            with bounded_tasks(rows.sparkSession):
+                writer.parquet(folder)
             written = self._read([folder], folder)
             # No column is read for this: the windows are folders, and the files' footers have their numbers of rows.
             counts = {r[WINDOW]: r["n"] for r in written.groupBy(WINDOW).agg(F.count(F.lit(1)).alias("n")).collect()}
