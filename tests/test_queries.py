@@ -54,6 +54,19 @@ def test_a_query_stores_the_tables_that_it_names(spark, sf, monkeypatch, name, t
     assert sorted(f.name for f in Path(db.root.removeprefix("file:")).iterdir()) == tables
 
 
+@pytest.mark.parametrize("own", [None, "32m"])
+def test_tasks_of_a_query_are_bounded_unless_the_session_says_otherwise(spark, sf, own):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.unset(name)
+    try:
+        if own:
+            spark.conf.set(name, own)
+        QUERIES["win_range"](spark, sf)
+        assert spark.conf.get(name) == (own or str(8 << 20))
+    finally:
+        spark.conf.unset(name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["p", "row_count"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -478,13 +478,18 @@ def parse_formats(spark, sf_dir):
 
 _DATED = (("events", "ts", "1 day"), ("orders", "o_orderdate", "30 day"), ("lineitem", "l_shipdate", "30 day"))
 _databases: dict[tuple, Session] = {}
+#: Bytes, as shuffled, that a task of these queries gets: a window query sorts them once for each order, all in memory.
+_ADVISED, _ADVISED_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 8 << 20
 
 
 def database(spark: SparkSession, sf_dir: str, text: str) -> Session:
     """A session over stored tables that queries only read, and views of the tables without dates.
 
-    A table is stored when a query first names it: a query pays for the tables that it reads, and for no others.
+    A table is stored when a query first names it: a query pays for the tables that it reads, and for no others. A
+    session that doesn't set what a task gets from a shuffle gets a size that the tasks' sorts can hold.
     """
+    if spark.conf.get(_ADVISED, None) is None:
+        spark.conf.set(_ADVISED, str(_ADVISED_BYTES))
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _databases:
         _databases[key] = Session(spark, scratch(spark, "database"))
